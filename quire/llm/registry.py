@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import packing, token_store
+from quire.llm import jaccard, packing, substring, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": token_store.query,
+    "op5_ngram_jaccard": jaccard.query,
+    "op8_substring_dedup": substring.query,
     "op10_pattern_packing": packing.query,
 }
 
