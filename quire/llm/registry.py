@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import jaccard, packing, sharding, substring, token_store, warc
+from quire.llm import jaccard, neardup, packing, sharding, substring, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": token_store.query,
     "op3_histogram_sort": sharding.query,
+    "op4_pstable_neardup": neardup.query,
     "op5_ngram_jaccard": jaccard.query,
     "op8_substring_dedup": substring.query,
     "op9_warc_segments": warc.query,
