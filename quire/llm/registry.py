@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import jaccard, neardup, packing, sharding, substring, token_store, warc
+from quire.llm import jaccard, neardup, packing, quality, sharding, substring, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_additive_quality": quality.query,
     "op2_token_store": token_store.query,
     "op3_histogram_sort": sharding.query,
     "op4_pstable_neardup": neardup.query,
