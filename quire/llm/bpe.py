@@ -103,24 +103,23 @@ class Bpe:
         pos = (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
         self._load(name, pa.table({"word": word, "pos": pos, "token": self.byte_id[flat]}))
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
+    def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word; a word that is a token itself is that token."""
-        out: list = [None] * len(words)
+        out = [b""] * len(words)
         short, long_ = [], []
         for i, w in enumerate(words):
             if (r := self.ranks.get(w)) is not None:
-                out[i] = np.array([r], "<u4")
+                out[i] = r.to_bytes(4, "little")
             else:
                 (short if len(w) <= LONG_WORD else long_).append(i)
         a = 0
         while a < len(short):
             b, held = a, 0
-            while b < len(short) and (held < BATCH_BYTES):
+            while b < len(short) and held < BATCH_BYTES:
                 held += len(words[short[b]])
                 b += 1
             self._start([words[i] for i in short[a:b]], "start")
-            got = self.db.execute(ENCODE).fetchnumpy()
-            self._deal(short[a:b], got, out)
+            self._deal(short[a:b], self.db.execute(ENCODE).fetchnumpy(), out)
             a = b
         for i in long_:
             self._start([words[i]], "before")
@@ -133,34 +132,37 @@ class Bpe:
         return out
 
     @staticmethod
-    def _deal(which: list[int], got: dict, out: list) -> None:
-        word, token = np.asarray(got["word"]), np.asarray(got["token"]).astype("<u4")
-        edge = np.searchsorted(word, np.arange(len(which) + 1))
+    def _deal(which: list[int], got: dict, out: list[bytes]) -> None:
+        flat = np.asarray(got["token"]).astype("<u4").tobytes()
+        edge = (4 * np.searchsorted(np.asarray(got["word"]), np.arange(len(which) + 1))).tolist()
         for k, i in enumerate(which):
-            out[i] = token[edge[k] : edge[k + 1]]
+            out[i] = flat[edge[k] : edge[k + 1]]
 
-    def decode(self, items: list[np.ndarray]) -> list[bytes]:
+    def decode(self, items: list[bytes]) -> list[bytes]:
         """Bytes of each list of ids, by ordered aggregation."""
-        size = np.array([len(x) for x in items], np.int64)
+        size = np.array([len(x) // 4 for x in items], np.int64)
+        out = [b""] * len(items)
         if not size.sum():
-            return [b""] * len(items)
+            return out
         item = np.repeat(np.arange(len(items), dtype=np.int32), size)
         pos = (np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-        self._load("ids", pa.table({"item": item, "pos": pos, "token": np.concatenate(items).astype(np.int32)}))
+        self._load("ids", pa.table({"item": item, "pos": pos, "token": np.frombuffer(b"".join(items), "<u4").astype(np.int32)}))
         got = self.db.execute(DECODE).fetchnumpy()
-        out = [b""] * len(items)
         for i, h in zip(got["item"].tolist(), got["hex"].tolist()):
             out[i] = bytes.fromhex(h)
         return out
 
-    def learn(self, new: list[str]) -> None:
-        """Encode and decode pieces that this worker has not seen."""
+    def learn(self, new: list[str]) -> set[str]:
+        """Encode and decode pieces that this worker has not seen; return all that it added."""
         split = [self.pattern.findall(p) for p in new]
-        words = list({w for s in split for w in s})
-        ids = dict(zip(words, self.merge([w.encode() for w in words])))
-        whole = [np.concatenate([ids[w] for w in s]) if len(s) != 1 else ids[s[0]] for s in split]
-        for p, x, back in zip(new, whole, self.decode(whole)):
-            self.known[p] = x.tobytes(), back
+        words = list({w for s in split for w in s if w not in self.known})
+        ids = self.merge([w.encode() for w in words])
+        self.known.update(zip(words, zip(ids, self.decode(ids))))
+        for p, s in zip(new, split):
+            if len(s) > 1:
+                parts = [self.known[w] for w in s]
+                self.known[p] = b"".join([x for x, _ in parts]), b"".join([y for _, y in parts])
+        return {*new, *words}
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian u32, decoded bytes) of each text; null is empty."""
@@ -171,14 +173,13 @@ class Bpe:
         if len(self.known) + len(new) > MOST_PIECES:
             self.known = {}
         new.difference_update(self.known.keys())
-        if new:
-            self.learn(list(new))
+        added = self.learn(list(new)) if new else new
         get = self.known.__getitem__
         out = []
         for p in split:
             both = list(map(get, p))
             out.append((b"".join([x for x, _ in both]), b"".join([y for _, y in both])))
-        for p in new:
+        for p in added:
             if len(p) > LONG:
                 del self.known[p]
         return out
