@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, jaccard, neardup, packing, quality, sharding, substring, token_store, warc
+from quire.llm import bpe, fingerprints, jaccard, neardup, packing, quality, sharding, substring, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_additive_quality": quality.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pstable_neardup": neardup.query,
     "op5_ngram_jaccard": jaccard.query,
     "op6_recursive_bpe": bpe.query,
+    "op7_invertible_sketch": fingerprints.query,
     "op8_substring_dedup": substring.query,
     "op9_warc_segments": warc.query,
     "op10_pattern_packing": packing.query,
