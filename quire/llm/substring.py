@@ -132,9 +132,21 @@ def repeats(docs: DataFrame, size: int = 20, gram: int = GRAM) -> DataFrame:
     return store.written(starts.unionByName(whole), "repeats")
 
 
-def deduplicated(docs: DataFrame, size: int = 20, gram: int = GRAM) -> DataFrame:
+def remaining(text: str, gone: np.ndarray) -> str:
+    """A text without its ``gone`` words; white space within kept runs stays as it is."""
+    w = words(pa.array([text]), lower=False)
+    keep = np.concatenate([[False], ~gone, [False]])
+    first, last = np.flatnonzero(keep[1:] & ~keep[:-1]), np.flatnonzero(keep[:-1] & ~keep[1:]) - 1
+    data = w.data.tobytes()
+    return b"\n".join([data[w.starts[a] : w.ends[b]] for a, b in zip(first, last)]).decode()
+
+
+def deduplicated(docs: DataFrame, size: int = 20, gram: int = GRAM, texts: bool = False) -> DataFrame:
     """All columns of ``docs``, plus n_words, n_removed and kept (words joined by a space).
 
+    With ``texts``, the text itself loses the removed words; a text that loses
+    none stays as it is, byte for byte.
+
     A null text has no words.  Null ids count as smaller than all others.  Rows
     with the same id and text are the same place, so neither removes the other.
     Windows never cross documents.  An empty table gives an empty result; the
@@ -149,26 +161,25 @@ def deduplicated(docs: DataFrame, size: int = 20, gram: int = GRAM) -> DataFrame
     )
     joined = packed.join(found, ["key", "h"], "left").select("text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts", "row")
 
-    @F.pandas_udf("n_words long, n_removed long, kept binary")
-    def strip(texts, copies, starts):
+    @F.pandas_udf("n_words long, n_removed long, kept binary, left string")
+    def strip(column, copies, starts):
         import pandas as pd
 
         out = []
-        for text, copy, at in zip(texts, copies, starts):
+        for text, copy, at in zip(column, copies, starts):
             w = (text or "").encode().split()
             n = len(w)
-            if copy:
-                kept = [] if n >= size else w
-            elif at is None or not len(at):
-                kept = w
-            else:
+            gone = np.full(n, copy and n >= size)
+            if not copy and at is not None and len(at):
                 gone = covered(n, np.asarray(at, np.int64), size)
-                kept = [w[i] for i in np.flatnonzero(~gone)]
-            out.append((n, n - len(kept), b" ".join(kept)))
-        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
+            kept = [w[i] for i in np.flatnonzero(~gone)] if gone.any() else w
+            left = None if not texts else remaining(text, gone) if gone.any() else text
+            out.append((n, n - len(kept), b" ".join(kept), left))
+        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept", "left"])
 
     done = joined.withColumn("done", strip("text", "copy", "starts"))
-    return done.select("row.*", "text", "done.n_words", "done.n_removed", F.col("done.kept").cast("string").alias("kept"))
+    body = F.col("done.left").alias("text") if texts else F.col("text")
+    return done.select("row.*", body, "done.n_words", "done.n_removed", F.col("done.kept").cast("string").alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
