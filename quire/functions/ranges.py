@@ -101,8 +101,12 @@ def merged(left: Column, right: Column, limit: Column, shift: Column, coloured:
 
 
 def rich_text(text: Column, colours: Column, bolds: Column, italics: Column) -> Column:
-    """Escaped text with span, em and strong around the pieces between range ends."""
-    c, b, i = normal_colours(text, colours), normal_styles(text, bolds), normal_styles(text, italics)
+    """Escaped text with span, em and strong around the pieces between range ends.
+
+    The ranges must be normal (normal_colours, normal_styles) and should be
+    columns of their own, since each is read several times.
+    """
+    c, b, i = colours, bolds, italics
     ends = lambda rs: F.flatten(F.transform(rs, lambda r: F.array(r["start"], r["end"])))
     cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.char_length(text)), ends(c), ends(b), ends(i))))
     pieces = F.transform(F.slice(cuts, 1, F.greatest(F.size(cuts) - 1, F.lit(0))), lambda a, k: F.struct(a.alias("a"), F.get(cuts, k + 1).alias("z")))

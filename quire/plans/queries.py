@@ -201,6 +201,8 @@ def ranges_projected(spark, sf_dir):
 
 def rich_text(spark, sf_dir):
     s = _styled(spark, sf_dir)
+    text = F.col("text")
+    s = s.withColumns({"colours": R.normal_colours(text, F.col("colours")), "bolds": R.normal_styles(text, F.col("bolds")), "italics": R.normal_styles(text, F.col("italics"))})
     return s.select("doc_id", "seq", R.rich_text(F.col("text"), F.col("colours"), F.col("bolds"), F.col("italics")).alias("html"))
 
 
