@@ -94,8 +94,12 @@ def indented(config: Config = DEFAULT) -> Column:
 
 
 def _sized(lines: DataFrame, config: Config) -> DataFrame:
-    sized = lines.join(L.body_size(lines, config), "doc_id")
-    sized = sized.join(L.page_left(sized, config), PAGE)
+    """Lines with body_size, page_left and line_height, by windows: one exchange on the document."""
+    whole, page = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "page")
+    running = F.col("size").between(config.body_size_low, config.body_size_high) & (F.char_length("text") > config.body_text_length)
+    sized = lines.withColumn("body_size", F.coalesce(F.median(F.when(running, F.col("size"))).over(whole), F.lit(config.body_size_default)))
+    fits = (F.char_length("text") > config.left_length) & (F.col("size") <= config.left_size * F.col("body_size"))
+    sized = sized.withColumn("page_left", F.coalesce(F.min(F.when(fits, F.bround("x0"))).over(page), F.lit(config.left_default)))
     return sized.withColumn("line_height", F.greatest(F.lit(config.line_min), config.line_factor * F.col("body_size")))
 
 
