@@ -11,6 +11,7 @@ from quire.operators import lines as L
 from quire.operators import regions as G
 from quire.operators import sections as S
 from quire.operators import segment
+from quire.plans.lineage import cut
 from quire.sources import files
 
 
@@ -32,11 +33,11 @@ def elements(lines: DataFrame, regions: DataFrame, drawings: DataFrame | None =
 
 
 def convert(lines: DataFrame, regions: DataFrame, drawings: DataFrame | None = None, tables: DataFrame | None = None, config: Config = DEFAULT, css: str = "body{}", cover: bool = True) -> dict[str, DataFrame]:
-    """All results of a conversion, each as a lazy table."""
-    read = elements(lines, regions, drawings, config, cover)
+    """All results of a conversion, each as a lazy table over elements that are computed once."""
+    read = cut(elements(lines, regions, drawings, config, cover))
     sectioned = S.sections(read)
     meta = S.metadata(lines, G.furniture_keys(lines, config), config=config)
-    books = epub.packages(render.documents(sectioned), S.contents(sectioned), S.page_list(sectioned), meta, css)
+    books = cut(epub.packages(render.documents(sectioned), S.contents(sectioned), S.page_list(sectioned), meta, css))
     return {
         "elements": read, "sections": sectioned, "metadata": meta, "packages": books, "warnings": S.warnings(read, tables), "suspicious": S.suspicious(read),
         "metrics": S.metrics(read), "verdicts": epub.verdicts(books),

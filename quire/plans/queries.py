@@ -11,6 +11,7 @@ from quire.functions import ranges as R
 from quire.functions.colour import colour_class
 from quire.functions.text import join_lines
 from quire.operators import epub, lines as L, regions as G, render, sections as S, segment
+from quire.plans.lineage import cut
 from quire.sources import layout
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,7 +179,7 @@ def suspicious_duplicates(spark, sf_dir):
 
 def _styled(spark, sf_dir):
     """Paragraph texts with synthetic colour, bold and italic ranges that overlap and touch."""
-    base = _reading(spark, sf_dir).filter(F.char_length("text") > 30).select("doc_id", "seq", "text")
+    base = cut(_reading(spark, sf_dir)).filter(F.char_length("text") > 30).select("doc_id", "seq", "text")
     pair = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
     tint = lambda a, b, c: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(c).alias("css_class"))
     return base.withColumns({"bolds": F.array(pair(0, 5), pair(5, 9), pair(12, 16)), "italics": F.array(pair(3, 7)), "colours": F.array(tint(0, 6, "red"), tint(4, 8, "blue"), tint(6, 9, "red"), tint(20, 400, "green"), tint(10, 14, "green"))})
@@ -211,19 +212,19 @@ def marker_histogram(spark, sf_dir):
 
 
 def qa_warnings(spark, sf_dir):
-    return S.warnings(_reading(spark, sf_dir), layout.tables(_docs(spark, sf_dir)))
+    return S.warnings(cut(_reading(spark, sf_dir)), layout.tables(_docs(spark, sf_dir)))
 
 
 def sections(spark, sf_dir):
-    return S.sections(_reading(spark, sf_dir)).groupBy("doc_id", "section_no", "section").agg(F.count(F.lit(1)).alias("n_elements"), F.min("seq").alias("first_seq")).drop("section_no")
+    return S.sections(cut(_reading(spark, sf_dir))).groupBy("doc_id", "section_no", "section").agg(F.count(F.lit(1)).alias("n_elements"), F.min("seq").alias("first_seq")).drop("section_no")
 
 
 def heading_ids(spark, sf_dir):
-    return S.heading_ids(S.sections(_reading(spark, sf_dir))).select("doc_id", "seq", "section", "id")
+    return S.heading_ids(S.sections(cut(_reading(spark, sf_dir)))).select("doc_id", "seq", "section", "id")
 
 
 def toc(spark, sf_dir):
-    return S.contents(S.sections(_reading(spark, sf_dir)))
+    return S.contents(S.sections(cut(_reading(spark, sf_dir))))
 
 
 def list_groups(spark, sf_dir):
@@ -261,9 +262,9 @@ def caps_pairs(spark, sf_dir):
 
 def _packages(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    sectioned = S.sections(_reading(spark, sf_dir))
+    sectioned = S.sections(cut(_reading(spark, sf_dir)))
     lines = layout.lines(docs)
-    return epub.packages(render.documents(sectioned), S.contents(sectioned), S.page_list(sectioned), S.metadata(lines, G.furniture_keys(lines)))
+    return cut(epub.packages(render.documents(sectioned), S.contents(sectioned), S.page_list(sectioned), S.metadata(lines, G.furniture_keys(lines))))
 
 
 def xhtml_rules(spark, sf_dir):
