@@ -97,6 +97,63 @@ def _hashed(classes: DataFrame, tables: int, per_table: int, width: float) -> Da
     return classes.select("rep", "vector").mapInArrow(run, "rep long, codes array<long>")
 
 
+def _meet(key: tuple[int, ...], ids: np.ndarray, own: np.ndarray, weight: np.ndarray, v: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vector, weight of its links, one vector that it reaches) of a pair of blocks of a bucket."""
+    t, _, i, j = key
+    x = np.flatnonzero(own == i)
+    y = x if i == j else np.flatnonzero(own == j)
+    hit = linked(v[x], v[y], c[x], c[y], t, threshold)
+    if i == j:
+        np.fill_diagonal(hit, False)
+    if not hit.any():
+        return ids[:0], ids[:0], ids[:0]
+    n = np.zeros(len(ids), np.int64)
+    whole = np.zeros((len(ids), len(ids)), bool)
+    n[x] = hit @ weight[y]
+    whole[np.ix_(x, y)] = hit
+    if i != j:
+        n[y] = hit.T @ weight[x]
+        whole[np.ix_(y, x)] = hit.T
+    keep = n > 0
+    return ids[keep], n[keep], ids[roots(whole)][keep]
+
+
+def _meetings(batches, threshold: float):
+    """Runs of equal (table, bucket, i, j) in sorted batches; a run may cross batches, its size is bounded."""
+    held = None
+    names = ["table", "bucket", "i", "j", "own", "rep", "weight", "vector", "codes"]
+
+    def solve(t: pa.Table, last: bool):
+        key = np.stack([np.asarray(t.column(c)).astype(np.int64) for c in names[:4]], 1)
+        edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]])
+        upto = len(edge) - 1 if last else len(edge) - 2
+        own, ids, weight = (np.asarray(t.column(c)) for c in names[4:7])
+        vectors, code = (t.column(c).combine_chunks() for c in names[7:])
+        at, flat = np.asarray(vectors.offsets), np.asarray(vectors.values)
+        codes_ = np.asarray(code.flatten()).reshape(len(key), -1)
+        parts = []
+        for a, b in zip(edge[:upto], edge[1 : upto + 1]):
+            v = unit(flat[at[a] : at[b]].reshape(b - a, -1))
+            parts.append(_meet(tuple(key[a].tolist()), ids[a:b], own[a:b], weight[a:b], v, codes_[a:b], threshold))
+        return parts, t.slice(edge[upto])
+
+    def rows(parts):
+        rep, n, to = (np.concatenate(p) for p in zip(*parts))
+        for k in range(0, len(rep), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(z[k : k + 50_000]) for z in (rep, n, to)], names=["rep", "n", "to"])
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch]).select(names)
+        t = t if held is None else pa.concat_tables([held, t])
+        if t.num_rows:
+            parts, held = solve(t, False)
+            if parts:
+                yield from rows(parts)
+    if held is not None and held.num_rows:
+        parts, _ = solve(held, True)
+        yield from rows(parts)
+
+
 def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tables: int = TABLES, per_table: int = PER_TABLE, width: float = WIDTH) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
@@ -126,27 +183,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec
     vectors = classes.join(hashed, "rep").select("rep", "weight", "vector", "codes", F.xxhash64("label").alias("group"))
     dealt = dealt.join(vectors, "rep")
 
-    def meet(table: pa.Table) -> pa.Table:
-        ids, own, weight = (np.asarray(table.column(c)) for c in ("rep", "own", "weight"))
-        v = unit(np.array(table.column("vector").to_pylist(), float))
-        c = np.array(table.column("codes").to_pylist(), np.int64)
-        t, i, j = (table.column(x)[0].as_py() for x in ("table", "i", "j"))
-        x = np.flatnonzero(own == i)
-        y = x if i == j else np.flatnonzero(own == j)
-        hit = linked(v[x], v[y], c[x], c[y], t, threshold)
-        n = np.zeros(len(ids), np.int64)
-        whole = np.zeros((len(ids), len(ids)), bool)
-        if i == j:
-            np.fill_diagonal(hit, False)
-            n[x] = hit @ weight[y]
-            whole[np.ix_(x, y)] = hit
-        else:
-            n[x], n[y] = hit @ weight[y], hit.T @ weight[x]
-            whole[np.ix_(x, y)], whole[np.ix_(y, x)] = hit, hit.T
-        keep = n > 0
-        return pa.table({"rep": ids[keep], "n": n[keep], "to": ids[roots(whole)][keep]})
-
-    found = store.written(dealt.groupBy("table", "bucket", "i", "j").applyInArrow(meet, "rep long, n long, to long"), "links")
+    ordered = dealt.repartition("table", "bucket", "i", "j").sortWithinPartitions("table", "bucket", "i", "j")
+    found = store.written(ordered.mapInArrow(lambda batches: _meetings(batches, threshold), "rep long, n long, to long"), "links")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = graph.components(found.select(F.col("rep").alias("a"), F.col("to").alias("b"))).toDF("rep", "component")
     stats = classes.select("h", "h2", "rep", "weight").join(counts, "rep", "left").join(parts, "rep", "left")
