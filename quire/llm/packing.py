@@ -173,7 +173,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, i
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for some in slices(batch, "text"):
+            for some in slices(batch, "text", 1 << 22):
                 rows = []
                 for name, x in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
                     x += end

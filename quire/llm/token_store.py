@@ -173,7 +173,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_
             held = 0
             yield MAGIC
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", 1 << 22):
                     names = part.column(0).to_pylist()
                     for name, x in zip(names, enc.encode(part.column(1).to_pylist())):
                         x += end

@@ -126,7 +126,7 @@ def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.unique(windows(hashes, min(size, len(hashes))))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
     """Cut a batch into row ranges of at most ``most`` text bytes (or one row)."""
     col = batch.column(batch.schema.get_field_index(column))
     _, offs = buffers(col)
