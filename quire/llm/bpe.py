@@ -48,7 +48,7 @@ WITH RECURSIVE step(word, pos, token, next, round) AS (
     ) c ON c.word = t.word
     WHERE t.pos <> c.gone
 )
-SELECT word, token FROM (SELECT *, max(round) OVER (PARTITION BY word) AS last FROM step) WHERE round = last ORDER BY word, pos
+SELECT s.word, s.token FROM step s JOIN (SELECT word, max(round) AS last FROM step GROUP BY word) l ON l.word = s.word AND l.last = s.round ORDER BY s.word, s.pos
 """
 
 # One round over long words: all pairs of the word's least rank, from the left, without overlap.
@@ -84,7 +84,8 @@ class Bpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.back: dict[str, bytes] = {}
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB"})
         rows = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         left, right, merged = (pa.array(c, pa.int32()) for c in zip(*rows))
@@ -155,13 +156,14 @@ class Bpe:
     def learn(self, new: list[str]) -> set[str]:
         """Encode and decode pieces that this worker has not seen; return all that it added."""
         split = [self.pattern.findall(p) for p in new]
-        words = list({w for s in split for w in s if w not in self.known})
+        words = [w for w in {w for s in split for w in s} if w not in self.ids]
         ids = self.merge([w.encode() for w in words])
-        self.known.update(zip(words, zip(ids, self.decode(ids))))
+        self.ids.update(zip(words, ids))
+        self.back.update(zip(words, self.decode(ids)))
         for p, s in zip(new, split):
             if len(s) > 1:
-                parts = [self.known[w] for w in s]
-                self.known[p] = b"".join([x for x, _ in parts]), b"".join([y for _, y in parts])
+                self.ids[p] = b"".join([self.ids[w] for w in s])
+                self.back[p] = b"".join([self.back[w] for w in s])
         return {*new, *words}
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
@@ -170,18 +172,15 @@ class Bpe:
         new: set[str] = set()
         for p in split:
             new.update(p)
-        if len(self.known) + len(new) > MOST_PIECES:
-            self.known = {}
-        new.difference_update(self.known.keys())
+        if len(self.ids) + len(new) > MOST_PIECES:
+            self.ids, self.back = {}, {}
+        new.difference_update(self.ids.keys())
         added = self.learn(list(new)) if new else new
-        get = self.known.__getitem__
-        out = []
-        for p in split:
-            both = list(map(get, p))
-            out.append((b"".join([x for x, _ in both]), b"".join([y for _, y in both])))
+        ids, back = self.ids.__getitem__, self.back.__getitem__
+        out = [(b"".join(map(ids, p)), b"".join(map(back, p))) for p in split]
         for p in added:
             if len(p) > LONG:
-                del self.known[p]
+                del self.ids[p], self.back[p]
         return out
 
 
@@ -203,7 +202,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     def run(batches):
         bpe = worker(ranks_path, pattern)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 22):
                 both = bpe.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], names=["doc_id", "ids", "decoded"])
 
