@@ -4,10 +4,11 @@
    storage); only documents that are longer are cut, and the first piece takes
    the remainder.
 2. The histogram of piece lengths (at most ``capacity`` bins) goes to the
-   driver, which enumerates patterns of few lengths that fill a sequence, fits
-   their repeat counts to the histogram by non-negative least squares, rounds
-   down, and packs the residual histogram by best fit.  All this depends on the
-   number of bins alone, never on the number of documents.
+   driver, which enumerates patterns that fill a sequence, fits their repeat
+   counts to the histogram by non-negative least squares, rounds down, and packs
+   the residual histogram by best fit; best fit alone is taken where it needs
+   fewer sequences.  All this depends on the number of bins alone, never on the
+   number of documents.
 3. Each piece gets a rank among the pieces of its length from partial counts,
    and the rank decides its sequence and place.
 """
@@ -48,27 +49,33 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def patterns(lengths: np.ndarray, capacity: int, per_length: int = 8) -> list[dict[int, int]]:
-    """Patterns of two to four lengths that fill a sequence as well as they can."""
+    """Patterns of pieces that fill a sequence as well as they can.
+
+    Each starts from one or two lengths and takes the longest that fits, as often
+    as it fits, until none does.  Those that leave more than a hundredth of the
+    capacity beyond what the fullest leaves are dropped.
+    """
     have = np.sort(lengths[lengths < capacity])
     out: dict[tuple, dict[int, int]] = {}
 
-    def best(room: int) -> int:
-        k = int(np.searchsorted(have, room, "right")) - 1
-        return int(have[k]) if k >= 0 else 0
-
     def add(*some: int) -> None:
-        key = tuple(sorted(s for s in some if s))
-        if len(key) > 1:
-            out.setdefault(key, {s: key.count(s) for s in key})
+        pattern = {s: some.count(s) for s in some}
+        room = capacity - sum(some)
+        while (k := int(np.searchsorted(have, room, "right")) - 1) >= 0:
+            s = int(have[k])
+            pattern[s] = pattern.get(s, 0) + room // s
+            room %= s
+        if sum(pattern.values()) > 1:
+            out.setdefault(tuple(sorted(pattern.items())), pattern)
 
     for a in map(int, have[::-1]):
-        room = capacity - a
-        add(a, best(room))
-        fits = have[: np.searchsorted(have, room, "right")]
+        add(a)
+        fits = have[: np.searchsorted(have, capacity - a, "right")]
         for b in map(int, fits[np.unique(np.linspace(0, len(fits) - 1, per_length).astype(int))] if len(fits) else []):
-            c = best(room - b)
-            add(a, b, c, best(room - b - c) if c else 0)
-    return list(out.values())
+            add(a, b)
+    fill = [sum(s * m for s, m in p.items()) for p in out.values()]
+    least = max(fill, default=0) - capacity // 100
+    return [p for p, n in zip(out.values(), fill) if n >= least]
 
 
 def fit(counts: np.ndarray, some: list[dict[int, int]], rounds: int = 400) -> np.ndarray:
@@ -99,6 +106,28 @@ def fit(counts: np.ndarray, some: list[dict[int, int]], rounds: int = 400) -> np
     return x * scale
 
 
+def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """(pattern, repeats) that pack all of a histogram, the longest pieces first."""
+    left, used = left.copy(), []
+    have = list(map(int, np.flatnonzero(left)))
+    while have:
+        room, pattern, top = capacity, {}, len(have)
+        while (k := bisect_right(have, room, 0, top) - 1) >= 0:
+            s = have[k]
+            if m := min(room // s, int(left[s])) if pattern else 1:
+                pattern[s] = pattern.get(s, 0) + m
+                room -= m * s
+                left[s] -= m
+            top = k + 1 if m and left[s] else k
+        more = min(int(left[s]) // m for s, m in pattern.items())
+        for s, m in pattern.items():
+            left[s] -= more * m
+            if not left[s]:
+                del have[bisect_right(have, s) - 1]
+        used.append((pattern, 1 + more))
+    return used
+
+
 def plan(histogram: dict[int, int], capacity: int) -> Plan:
     """Decide the sequences for a histogram of piece lengths."""
     left = np.zeros(capacity + 1, np.int64)
@@ -109,6 +138,7 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
         used.append(({capacity: 1}, int(left[capacity])))
         left[capacity] = 0
     left_zero, left[0] = int(left[0]), 0
+    every, whole = left.copy(), list(used)
     some = patterns(np.flatnonzero(left), capacity)
     if some:
         x = fit(left.astype(float), some)
@@ -118,22 +148,10 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
                 used.append((some[j], times))
                 for s, m in some[j].items():
                     left[s] -= times * m
-    have = list(map(int, np.flatnonzero(left)))
-    while have:
-        room, pattern, top = capacity, {}, len(have)
-        while (k := bisect_right(have, room, 0, top) - 1) >= 0:
-            s = have[k]
-            if m := min(room // s, int(left[s])) if pattern else 1:
-                pattern[s] = pattern.get(s, 0) + m
-                room -= m * s
-                left[s] -= m
-            top = k + 1 if m and left[s] else k
-        more = min(int(left[s]) // m for s, m in pattern.items())
-        for s, m in pattern.items():
-            left[s] -= more * m
-            if not left[s]:
-                del have[bisect_right(have, s) - 1]
-        used.append((pattern, 1 + more))
+    used += best_fit(left, capacity)
+    alone = whole + best_fit(every, capacity)
+    if sum(n for _, n in alone) < sum(n for _, n in used):
+        used = alone
     if left_zero:
         used.append(({0: left_zero}, 1))
     seen = np.zeros(capacity + 1, np.int64)

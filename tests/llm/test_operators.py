@@ -103,6 +103,17 @@ def test_packing_plan_places_every_piece():
             assert at <= capacity
 
 
+def test_packing_fills_sequences_with_short_pieces():
+    rnd = random.Random(5)
+    short = {length: rnd.randint(0, 50) for length in range(1, 512)}
+    for hist, capacity, most in (
+        ({100: 10_000}, 2048, 500),
+        ({1000: 10_000, 10: 10_000}, 2048, 5000),
+        (short, 2048, -(-sum(s * n for s, n in short.items()) // 2048)),
+    ):
+        assert packing.plan(hist, capacity).sequences == most
+
+
 def test_packing(spark):
     texts = corpus(30) + ["word " * 5000]
     placed = packing.pack(frame(spark, texts), JSON, 256)
