@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import store
@@ -41,9 +41,13 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int | None, part: int = 1) -> str:
-    """A record's identifier, the same in every attempt of a task."""
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}/{part}')}>"
+def record_id(page_id: int | None, sha: str, nth: int = 1, part: int = 1) -> str:
+    """A record's identifier, the same in every attempt of a task.
+
+    ``sha`` is the digest of the payload; ``nth`` counts the rows of one page and
+    payload.
+    """
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}/{sha}/{nth}/{part}')}>"
 
 
 def chunked(body: bytes, size: int) -> bytes:
@@ -75,16 +79,17 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 3, mtime=0)
 
 
-def records(page_id: int | None, url: str | None, payload: bytes, first: int | None, segment: int, chunk: int) -> Iterator[bytes]:
-    """The gzip members of one page; ``first`` is the page a revisit refers to."""
-    own = record_id(page_id)
+def records(page_id: int | None, url: str | None, payload: bytes, first: int | None, segment: int, chunk: int, nth: int = 1) -> Iterator[bytes]:
+    """The gzip members of one page, the ``nth`` row of its id and payload; ``first`` is the page a revisit refers to."""
+    sha = digest(payload)
+    own = record_id(page_id, sha, nth)
     head = [("WARC-Type", "response" if first is None else "revisit"), ("WARC-Record-ID", own), ("WARC-Date", DATE)]
     head += [("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A"))] if url else []
-    head += [("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("X-Page-ID", "" if page_id is None else str(page_id)), ("X-Payload-Length", str(len(payload)))]
+    head += [("WARC-Payload-Digest", f"sha1:{sha}"), ("X-Page-ID", "" if page_id is None else str(page_id)), ("X-Payload-Length", str(len(payload)))]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     kind = ("Content-Type", "application/http; msgtype=response")
     if first is not None:
-        yield _record([*head, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(None if first == LEAST else first)), ("X-Refers-To-Page", "" if first == LEAST else str(first)), kind], http)
+        yield _record([*head, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(None if first == LEAST else first, sha)), ("X-Refers-To-Page", "" if first == LEAST else str(first)), kind], http)
         return
     block = http + chunked(payload, chunk)
     if len(block) <= segment:
@@ -93,7 +98,7 @@ def records(page_id: int | None, url: str | None, payload: bytes, first: int | N
     yield _record([*head, ("WARC-Segment-Number", "1"), kind], block[:segment])
     last = -(-len(block) // segment)
     for k in range(2, last + 1):
-        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page_id, k)), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(k))]
+        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page_id, sha, nth, k)), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(k))]
         more += [("WARC-Segment-Total-Length", str(len(block)))] if k == last else []
         yield _record(more, block[(k - 1) * segment : k * segment])
 
@@ -122,7 +127,7 @@ def write(pages: DataFrame, segment: int = SEGMENT_BYTES, chunk: int = CHUNK_BYT
 
     A null html is an empty payload; a null url leaves out the target URI.  Of
     pages with equal payloads the smallest id is the response (a repeated row of
-    that id too).  A null id is an ordinary page whose id sorts first and whose
+    that id too, with a record of its own).  A null id is an ordinary page whose id sorts first and whose
     revisits refer to no id.  Other columns are ignored; an empty table gives no
     archive.
     """
@@ -132,7 +137,8 @@ def write(pages: DataFrame, segment: int = SEGMENT_BYTES, chunk: int = CHUNK_BYT
     lean = base.select("page_id", "sha")
     firsts = lean.groupBy("sha").agg(F.min(F.coalesce("page_id", F.lit(LEAST))).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     repeats = store.written(lean.join(firsts, "sha").filter("page_id > first").select("page_id", "sha", "first").distinct(), "revisits")
-    typed = base.join(repeats, ["page_id", "sha"], "left").drop("sha")
+    rows = Window.partitionBy("page_id", "sha").orderBy("url")
+    typed = base.join(repeats, ["page_id", "sha"], "left").withColumn("nth", F.row_number().over(rows)).drop("sha")
 
     def run(batches):
         tally = [0]
@@ -141,7 +147,7 @@ def write(pages: DataFrame, segment: int = SEGMENT_BYTES, chunk: int = CHUNK_BYT
             for batch in batches:
                 for row in batch.to_pylist():
                     tally[0] += 1
-                    yield from records(row["page_id"], row["url"], row["html"].encode(), row["first"], segment, chunk)
+                    yield from records(row["page_id"], row["url"], row["html"].encode(), row["first"], segment, chunk, row["nth"])
 
         uri = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         size = store.write_file(uri, body())

@@ -266,6 +266,16 @@ def test_warc_round_trip(spark):
         warc.reassembled(broken).collect()
 
 
+def test_warc_keeps_pages_without_an_id_and_repeated_rows(spark):
+    rows = [(None, "u", "a" * 5000), (None, "u", "b" * 7000), (None, None, "a" * 5000), (3, "u", "c" * 5000), (3, "u", "c" * 5000), (3, "v", "d" * 5000), (4, "u", "c" * 5000), (None, "u", "s"), (None, "u", "s")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    back = warc.read(warc.write(pages, segment=1000, chunk=300)).collect()
+    got = sorted((str(r["page_id"]), "" if r["payload"] is None else bytes(r["payload"]).decode(), str(r["refers_to"])) for r in back)
+    assert got == sorted((str(i), "" if i == 4 else t, "3" if i == 4 else "None") for i, _, t in rows)
+    ids = [r["record_id"] for r in warc.read_records(warc.write(pages, segment=1000, chunk=300)).collect()]
+    assert len(ids) == len(set(ids))
+
+
 def test_quality_learns_and_scores(spark):
     rnd = random.Random(2)
     good = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(60)) + "."
