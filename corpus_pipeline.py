@@ -29,13 +29,19 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each group of near duplicates.
 
-    Documents without words are in no group and stay; rows that repeat an id are
-    one document.
+    Documents without words are in no group and stay.  Rows with equal id and
+    equal text are one document; different texts that share an id, or have none,
+    are documents of their own.  A document without an id comes after all others
+    of its group.
     """
-    groups = jaccard.join(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_"))
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    key, least = F.xxhash64("doc_id", "text"), F.lit(-(1 << 63))
+    groups = jaccard.join(docs.select(key.alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
+    groups = groups.select(F.coalesce("doc_id", least).alias("key_"), F.coalesce("component_id", least).alias("group_"))
+    ids = docs.select(key.alias("key_"), "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key_")
+    first = groups.distinct().join(ids, "key_").groupBy("group_").agg(F.min(order)["key_"].alias("first_"))
+    kept = docs.join(first, key == F.col("first_"), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

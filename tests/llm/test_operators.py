@@ -306,6 +306,18 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_pipeline_keeps_documents_that_share_an_id_or_have_none(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    texts = [(None, a), (None, b), (None, b + " more"), (5, a), (6, c), (6, d), (6, d), (7, d), (8, e), (None, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], DOCS)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.distinct(spark, docs, str(tmp_path)).collect()]
+    assert len(kept) == 7
+    assert {(5, a), (6, c), (6, d), (8, e), (None, None), (9, None)} < set(kept)
+    assert (None, b) in kept or (None, b + " more") in kept
+
+
 def test_empty_tables(spark):
     docs = frame(spark, ["a"]).limit(0)
     assert token_store.read(token_store.encode(docs, JSON)).count() == 0
