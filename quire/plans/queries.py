@@ -166,7 +166,7 @@ def number_overlay_antijoin(spark, sf_dir):
 
 def join_lines_text(spark, sf_dir):
     """Lines cut by a physical hyphen come together again."""
-    cut = _lines(spark, sf_dir).filter(F.char_length("text") > 20).select("doc_id", "page", "ord", F.rtrim(F.left("text", F.lit(12))).alias("a"), F.ltrim(F.substring("text", 13, 1 << 20)).alias("b"))
+    cut = _lines(spark, sf_dir).filter(F.char_length("text") > 20).select("doc_id", "page", "ord", F.rtrim(F.left("text", F.lit(12))).alias("a"), F.ltrim(F.substring("text", 13, F.char_length("text"))).alias("b"))
     cut = cut.filter(~F.col("a").rlike("-$"))
     return cut.select("doc_id", "page", "ord", join_lines(F.array(F.concat("a", F.lit("-")), F.col("b"))).alias("text"))
 

@@ -119,3 +119,11 @@ def test_query_matches_sql(spark, name):
     at = [[d[0] for d in cur.description].index(c) for c in cols]
     want = sorted((tuple(_plain(r[i]) for i in at) for r in cur.fetchall()), key=repr)
     assert got and got == want
+
+
+def test_join_lines_text_keeps_the_tail_of_a_long_line(spark, monkeypatch):
+    from quire.plans import queries
+
+    long = "palavra" * 160_000
+    monkeypatch.setattr(queries, "_lines", lambda spark, sf_dir: spark.createDataFrame([(1, 1, 1, long)], "doc_id long, page int, ord int, text string"))
+    assert queries.join_lines_text(spark, SF).first()["text"] == long
