@@ -2,7 +2,8 @@
 
 The pre-tokeniser never joins text across a space that is followed by a
 non-space, so a text may be cut before every such space and the pieces encoded
-apart.  Pieces repeat, so each Python worker keeps a bounded table of pieces it
+apart.  The library's added tokens, such as ``<|endoftext|>``, are taken out of
+the text before that and give their one id.  Pieces repeat, so each Python worker keeps a bounded table of pieces it
 has already encoded; only new pieces reach the library.
 """
 
@@ -27,7 +28,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.known: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
@@ -36,9 +38,18 @@ class PieceEncoder:
             for piece, enc in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
                 self.known[piece] = np.array(enc.ids, "<u4").tobytes()
 
+    def _split(self, text: str) -> list[str]:
+        """Pieces of a text; an added token is a piece of its own, as in the library."""
+        out, at = [], 0
+        for found in self.added.finditer(text) if self.added else ():
+            out += pieces(text[at : found.start()])
+            out.append(found.group())
+            at = found.end()
+        return out + pieces(text[at:]) if at else pieces(text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes; a null text is empty."""
-        split = [pieces(t) if t else [] for t in texts]
+        split = [self._split(t) if t else [] for t in texts]
         new: set[str] = set()
         for p in split:
             new.update(p)

@@ -9,8 +9,9 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from quire.llm import bpe, fingerprints, jaccard, neardup, packing, quality, sharding, substring, token_store, warc
+from quire.llm import bpe, fingerprints, jaccard, neardup, packing, quality, sharding, substring, token_store, tokens, warc
 from quire.llm.wordhash import shingle_set, words
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -84,6 +85,14 @@ def test_token_store(spark):
     assert {r["position"]: r["id"] for r in got} == {p: int(flat[p]) for p in (0, 17, at - 1)}
 
 
+def test_added_tokens_are_one_id_as_in_the_library():
+    lib, enc = Tokenizer.from_file(JSON), tokens.PieceEncoder(JSON)
+    for text in ("<|endoftext|>", "a  <|endoftext|>  b c", "x<|endoftext|><|endoftext|> y\n \n", "<|endof text|> <|endoftext| >", " \n <|endoftext|>\n  z  "):
+        want = lib.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == want
+    assert 50256 in lib.encode("a<|endoftext|>b", add_special_tokens=False).ids
+
+
 def test_packing_plan_places_every_piece():
     rnd = random.Random(1)
     for capacity in (7, 64):
