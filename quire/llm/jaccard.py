@@ -2,14 +2,15 @@
 
 Documents with equal shingle sets collapse first.  Every distinct set writes a
 prefix of its shingles (rare ones first), so that two sets above the threshold
-share a prefix shingle; each shingle's index list is kept in order of set size
-and prefix position, and whole blocks of it are skipped by size and position.
+share a prefix shingle; each shingle's index list is kept in order of set size,
+and an entry whose next partner is too large skips all later ones.  Position is a
+test on each pair that is left; no block is skipped by it.
 Two relations between sets save the rest of the work:
 
 * lists of frequent shingles mark groups of highly similar sets.  Their pairs
-  are not emitted: the sets meet in blocks, where the overlaps of one set are
-  counted incrementally from index lists of that block, and only a spanning
-  forest of the links leaves the block;
+  are not emitted: the sets meet in blocks, where the overlaps of every set are
+  counted from index lists of that block, each from scratch and not from those
+  of a similar set, and only a spanning forest of the links leaves the block;
 * a parity bitmap of each set bounds the overlap from above, exactly, before any
   pair of sets is read.
 
