@@ -3,7 +3,10 @@
 Each Python worker holds an in-memory DuckDB database with the vocabulary and a
 merge table (left id, right id, merged id).  New words become token-position
 rows; the recursive query contracts the leftmost pair of least rank of every
-word at once and ends when no word has a pair left.  Decoding joins ids to their
+word at once and ends when no word has a pair left.  Words of more than
+``LONG_WORD`` bytes do not take the recursive query, whose rounds would be
+quadratic in them: a loop runs a plain statement that contracts all places of the
+least rank in each round.  Decoding joins ids to their
 bytes and aggregates them in order.
 
 Text is cut before spaces that precede a non-space, which the pattern never
