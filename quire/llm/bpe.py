@@ -17,19 +17,20 @@ per worker, in a table of bounded size.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.tokens import pieces
 from quire.llm.wordhash import slices
 
 MOST_PIECES = 600_000
 LONG = 64
 BATCH_BYTES = 1_000_000
 LONG_WORD = 400
+_RARE_CUT = re.compile(r" (?=\s|\Z)")
 _LOADED: dict[tuple[str, str], "Bpe"] = {}
 
 # A token's row names the position of the token after it, so a contraction is two joins.
@@ -76,6 +77,21 @@ SELECT word, pos, CASE WHEN hit THEN merged ELSE token END AS token, best IS NOT
 DECODE = "SELECT i.item, string_agg(v.hex, '' ORDER BY i.pos) AS hex FROM ids i JOIN vocabulary v ON v.id = i.token GROUP BY i.item"
 
 
+def pieces(text: str) -> list[str]:
+    """Cut before every space that is followed by a non-space."""
+    head, *rest = text.split(" ")
+    out = [head] if head else []
+    if not _RARE_CUT.search(text):
+        out.extend([" " + p for p in rest])
+        return out
+    for p in rest:
+        if (not p or p[0].isspace()) and out:
+            out[-1] += " " + p
+        else:
+            out.append(" " + p)
+    return out
+
+
 class Bpe:
     """Encoder and decoder of one rank file."""
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from quire.llm import store, tokens
 from quire.llm.wordhash import slices
 
+SLICE_BYTES = 1 << 23
 PIECES = "part int, nth long, doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -42,10 +43,25 @@ class Plan(NamedTuple):
     sequences: int
 
 
-def cut(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document of n tokens."""
-    head = n % capacity or min(n, capacity)
-    return [(0, head)] + [(s, capacity) for s in range(head, n, capacity)]
+def cut(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of the pieces of documents of these sizes (1 or more)."""
+    n = -(-sizes // capacity)
+    doc = np.repeat(np.arange(len(sizes)), n)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    head = (sizes - 1) % capacity + 1
+    start = np.where(piece > 0, head[doc] + (piece - 1) * capacity, 0)
+    return doc, piece, start, np.where(piece > 0, capacity, head[doc])
+
+
+def occurrence(values: np.ndarray) -> np.ndarray:
+    """How often each value came before in the array."""
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    out = np.empty(len(values), np.int64)
+    out[order] = np.arange(len(values)) - first
+    return out
 
 
 def patterns(lengths: np.ndarray, capacity: int, per_length: int = 8) -> list[dict[int, int]]:
@@ -184,23 +200,22 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, i
     ``nth`` numbers the pieces of one length within one task; with ``part`` it
     gives each piece its rank without a sort.
     """
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         enc = tokens.encoder(tokenizer)
-        part = TaskContext.get().partitionId()
+        number = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for some in slices(batch, "text", 1 << 22):
-                rows = []
-                for name, x in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
-                    x += end
-                    for k, (s, n) in enumerate(cut(len(x) // 4, capacity)):
-                        rows.append((part, int(seen[n]), name, k, s, n, x[4 * s : 4 * (s + n)]))
-                        seen[n] += 1
-                cols = list(zip(*rows))
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["part", "nth", "doc_id", "piece", "start", "length", "ids"])
+            for some in slices(batch, "text", SLICE_BYTES):
+                ids, sizes = enc.closed(some.column(1), end_id)
+                doc, piece, start, length = cut(sizes, capacity)
+                nth = seen[length] + occurrence(length)
+                seen += np.bincount(length, minlength=len(seen))
+                # Pieces follow each other in the ids just as documents do.
+                offs = pa.array(4 * np.concatenate([[0], np.cumsum(length)]), pa.int64())
+                flat = pa.Array.from_buffers(pa.large_binary(), len(length), [None, offs.buffers()[1], pa.py_buffer(ids)])
+                cols = [np.full(len(length), number, np.int32), nth, some.column(0).take(pa.array(doc)), piece.astype(np.int32), start, length, flat.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], names=["part", "nth", "doc_id", "piece", "start", "length", "ids"])
 
     lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return store.written(lean.mapInArrow(run, PIECES), "pieces")
@@ -221,7 +236,8 @@ def assigned(pieces: DataFrame, capacity: int) -> DataFrame:
         s, o = place(decided, length.to_numpy(), rank.to_numpy())
         return pd.DataFrame({"sequence_id": s, "offset": o})
 
-    joined = pieces.join(base, ["part", "length"])
+    # Lengths times tasks grow with the corpus: never a broadcast.
+    joined = pieces.join(base.hint("merge"), ["part", "length"])
     return joined.withColumn("at", put("length", F.col("base") + F.col("nth"))).select("*", "at.sequence_id", "at.offset").drop("at", "base", "part", "nth")
 
 

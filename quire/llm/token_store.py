@@ -37,6 +37,7 @@ from quire.llm.wordhash import slices
 MAGIC = b"QDAC1\0\0\0"
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
+SLICE_BYTES = 1 << 23
 MANIFEST = "file_no int, uri string, n_docs long, n_tokens long"
 
 
@@ -119,15 +120,13 @@ class Dac:
         return cls(chunks, bitmaps, ranks)
 
 
-def _segment(doc_ids: list, ids: list[bytes]) -> bytes:
-    n = len(doc_ids)
-    flat = np.frombuffer(b"".join(ids), "<u4")
+def _segment(doc_ids: pa.Array, counts: np.ndarray, flat: np.ndarray) -> bytes:
     body = b"".join(
         [
-            struct.pack("<Q", n),
-            np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
-            np.array([d is None for d in doc_ids], np.uint8).tobytes(),
-            np.array([len(x) // 4 for x in ids], "<u8").tobytes(),
+            struct.pack("<Q", len(doc_ids)),
+            np.asarray(doc_ids.fill_null(0)).astype("<i8").tobytes(),
+            np.asarray(doc_ids.is_null().cast(pa.uint8())).tobytes(),
+            counts.astype("<u8").tobytes(),
             Dac.of(flat).to_bytes(),
         ]
     )
@@ -161,32 +160,30 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_
     """
     spark = docs.sparkSession
     folder = store.new_dir(spark, "tokens")
-    end = np.array([end_id], "<u4").tobytes()
 
     def write(batches):
         enc = tokens.encoder(tokenizer)
         tally = [0, 0]
 
         def body():
-            ids: list = []
-            coded: list[bytes] = []
-            held = 0
+            held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+
+            def segment() -> bytes:
+                names, counts, flat = zip(*held)
+                held.clear()
+                return _segment(pa.concat_arrays(names), np.concatenate(counts), np.concatenate(flat))
+
             yield MAGIC
             for batch in batches:
-                for part in slices(batch, "text", 1 << 22):
-                    names = part.column(0).to_pylist()
-                    for name, x in zip(names, enc.encode(part.column(1).to_pylist())):
-                        x += end
-                        ids.append(name)
-                        coded.append(x)
-                        held += len(x) // 4
-                        tally[0] += 1
-                        tally[1] += len(x) // 4
-                        if held >= SEGMENT_TOKENS:
-                            yield _segment(ids, coded)
-                            ids, coded, held = [], [], 0
-            if ids:
-                yield _segment(ids, coded)
+                for part in slices(batch, "text", SLICE_BYTES):
+                    flat, counts = enc.closed(part.column(1), end_id)
+                    held.append((part.column(0), counts, flat))
+                    tally[0] += len(counts)
+                    tally[1] += len(flat)
+                    if sum(len(f) for *_, f in held) >= SEGMENT_TOKENS:
+                        yield segment()
+            if held:
+                yield segment()
 
         number = TaskContext.get().partitionId()
         uri = f"{folder}/{number:06d}-{uuid.uuid4().hex}.qdac"

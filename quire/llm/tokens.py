@@ -1,83 +1,255 @@
 """Token ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-The pre-tokeniser never joins text across a space that is followed by a
-non-space, so a text may be cut before every such space and the pieces encoded
-apart.  The library's added tokens, such as ``<|endoftext|>``, are taken out of
-the text before that and give their one id.  Pieces repeat, so each Python worker keeps a bounded table of pieces it
-has already encoded; only new pieces reach the library.
+The pre-tokeniser's pattern has places that no match ever crosses: before a space
+that a non-space follows, around a lone line feed between non-spaces, and where a
+run of ASCII letters or digits ends.  Texts are cut at such places (leaving out a
+cut is always right, so only bytes that are certain are looked at).  Pieces
+repeat, so each Python worker keeps a bounded table of pieces it has encoded.
+New pieces reach the library joined to longer texts at places of the same kind,
+and the ids are dealt back by the byte lengths of their tokens.
+
+The library's added tokens, such as ``<|endoftext|>``, are taken out of a text
+before that and give their one id.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from quire.llm.wordhash import buffers
 
 _MOST_PIECES = 700_000
 _LONG_PIECE = 64
-_RARE_CUT = re.compile(r" (?=\s|\Z)")
+_BLOCK_PIECES = 1 << 20
+_JOIN = 400
+_LETTER, _DIGIT, _PUNCT, _OTHER, _SPACE, _FEED, _DOUBT = range(7)
 _LOADED: dict[str, "PieceEncoder"] = {}
 
 
-class PieceEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+def _kinds() -> np.ndarray:
+    """What is certain of a character from its first byte alone."""
+    kind = np.full(256, _DOUBT, np.uint8)
+    kind[0x21:0x7F] = _PUNCT
+    kind[0x30:0x3A] = _DIGIT
+    kind[0x41:0x5B] = kind[0x61:0x7B] = _LETTER
+    kind[0xC3:0xF5] = _OTHER  # a character of several bytes, but no white space:
+    kind[0xE1:0xE4] = _DOUBT  # lead bytes that white space has too
+    kind[0x20], kind[0x0A] = _SPACE, _FEED
+    return kind
+
+
+_KIND = _kinds()
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Whether the pattern certainly has a boundary before each byte of a text (the first: True)."""
+    k = _KIND[data]
+    ink = k <= _OTHER
+    cut = np.zeros(len(k), bool)
+    cut[:1] = True
+    if len(k) < 2:
+        return cut
+    before, here = k[:-1], k[1:]
+    cut[1:-1] = (here[:-1] == _SPACE) & ink[2:]
+    cut[1:] |= (before <= _DIGIT) & (here <= _PUNCT) & (before != here)
+    # A lone line feed between inked ASCII characters: cut before and after it.
+    ascii_ink = k <= _PUNCT
+    lone = (here[:-1] == _FEED) & ascii_ink[:-2] & ascii_ink[2:]
+    cut[1:-1] |= lone
+    cut[2:] |= lone
+    return cut
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of runs, end to end."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+class PieceTable:
+    """Texts to unsigned 32-bit ids by a table of pieces; ``_learn`` encodes what it lacks."""
+
+    def __init__(self):
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.start = np.zeros(1 << 14, np.int64)
+        self.size = np.zeros(1 << 14, np.int64)
+        self.used = np.zeros(1 << 14, np.int64)
+        self.n_flat = self.now = 0
+
+    def _add(self, some: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Put pieces and their ids, end to end, into the table."""
+        n, m = len(self.known), len(some)
+        while n + m > len(self.start):
+            self.start, self.size, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.used))
+        while self.n_flat + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
+        self.start[n : n + m] = self.n_flat + np.cumsum(sizes) - sizes
+        self.size[n : n + m] = sizes
+        self.known.update(zip(some, range(n, n + m)))
+        self.n_flat += len(ids)
+
+    def _learn(self, new: list[str], first: np.ndarray, last: np.ndarray, own: np.ndarray) -> None:
+        """Add new pieces, given their first two bytes' and last byte's kinds and their lengths in bytes."""
+        raise NotImplementedError
+
+    def _age(self) -> None:
+        """Keep the half of the table that was used last."""
+        n = len(self.known)
+        newest = self.used[:n] > np.median(self.used[:n])
+        rank = np.cumsum(newest) - 1
+        at = np.flatnonzero(newest)
+        flat = self._gather(at)
+        size = self.size[at]
+        self.known = {p: int(rank[i]) for p, i in self.known.items() if newest[i]}
+        self.used[: len(at)] = self.used[at]
+        self.size[: len(at)], self.start[: len(at)] = size, np.cumsum(size) - size
+        self.flat[: len(flat)], self.n_flat = flat, len(flat)
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of table entries, end to end."""
+        return self.flat[spread(self.start[at], self.size[at])]
+
+    def _block(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, end to end, and the number of ids of each piece."""
+        coded = values.dictionary_encode()
+        names = coded.dictionary
+        distinct = names.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) + len(distinct) > _MOST_PIECES:
+            self._age()
+        entry = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(self.known) + (entry < 0).sum() > _MOST_PIECES:
+            self._forget()
+            entry[:] = -1
+        own = np.asarray(pc.binary_length(names)).astype(np.int64)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            data, offs = buffers(names)
+            kind = np.append(_KIND[data], np.uint8(_DOUBT))
+            begin, end = offs[:-1][new], offs[1:][new]
+            self._learn([distinct[i] for i in new.tolist()], np.stack([kind[begin], np.where(end - begin > 1, kind[begin + 1], _DOUBT)], 1), kind[end - 1], own[new])
+            entry = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        self.now += 1
+        self.used[entry] = self.now
+        at = entry[np.asarray(coded.indices)]
+        out = self._gather(at), self.size[at]
+        # Long pieces hardly ever come again: they are the first to age.
+        self.used[entry[own > _LONG_PIECE]] = 0
+        return out
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a column of texts, end to end, and their number in each; a null text is empty."""
+        data, offs = buffers(column)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
+        cut = cuts(data)
+        cut[offs[:-1][offs[:-1] < len(data)]] = True
+        edge = np.append(np.flatnonzero(cut), len(data))
+        del cut
+        ids, sizes = [], []
+        for a in range(0, len(edge) - 1, _BLOCK_PIECES):
+            some = edge[a : a + _BLOCK_PIECES + 1]
+            body = pa.py_buffer(data[some[0] : some[-1]])
+            values = pa.Array.from_buffers(pa.large_string(), len(some) - 1, [None, pa.py_buffer((some - some[0]).astype(np.int64)), body])
+            i, n = self._block(values)
+            ids.append(i)
+            sizes.append(n)
+        total = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        row = total[np.searchsorted(edge, offs)]
+        return np.concatenate(ids), np.diff(row)
+
+    def closed(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, with the end id after each text."""
+        ids, sizes = self.encode(column)
+        out = np.empty(len(ids) + len(sizes), "<u4")
+        stop = np.cumsum(sizes + 1) - 1
+        own = np.ones(len(out), bool)
+        own[stop] = False
+        out[own], out[stop] = ids, end_id
+        return out, sizes + 1
+
+
+class PieceEncoder(PieceTable):
+    """Encodes by a file of the tokenizers library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         added = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            for piece, enc in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[piece] = np.array(enc.ids, "<u4").tobytes()
-
-    def _split(self, text: str) -> list[str]:
-        """Pieces of a text; an added token is a piece of its own, as in the library."""
-        out, at = [], 0
-        for found in self.added.finditer(text) if self.added else ():
-            out += pieces(text[at : found.start()])
-            out.append(found.group())
-            at = found.end()
-        return out + pieces(text[at:]) if at else pieces(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as bytes; a null text is empty."""
-        split = [self._split(t) if t else [] for t in texts]
-        new: set[str] = set()
-        for p in split:
-            new.update(p)
-        if len(self.known) + len(new) > _MOST_PIECES:
-            self.known = {}
-        new.difference_update(self.known.keys())
-        self._learn(list(new))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, p)) for p in split]
-        for piece in new:
-            if len(piece) > _LONG_PIECE:
-                del self.known[piece]
-        return out
+        vocabulary = self.library.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token)
 
+    def _learn(self, new: list[str], first: np.ndarray, last: np.ndarray, own: np.ndarray) -> None:
+        """Pieces of a space and a non-space go to the library in one text, those between
+        non-spaces with line feeds between them, all others alone."""
+        spaced = (first[:, 0] == _SPACE) & (first[:, 1] <= _OTHER)
+        inked = (first[:, 0] <= _OTHER) & (last <= _PUNCT)
+        for which, between in ((spaced, ""), (inked & ~spaced, "\n")):
+            at = np.flatnonzero(which)
+            for a in range(0, len(at), 50 * _JOIN):
+                some = at[a : a + 50 * _JOIN]
+                self._joined([new[i] for i in some.tolist()], own[some], between)
+        if alone := [new[i] for i in np.flatnonzero(~(spaced | inked)).tolist()]:
+            got = [e.ids for e in self.library.encode_batch_fast(alone, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            self._add(alone, np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum())), sizes)
 
-def pieces(text: str) -> list[str]:
-    """Cut before every space that is followed by a non-space."""
-    head, *rest = text.split(" ")
-    out = [head] if head else []
-    if not _RARE_CUT.search(text):
-        out.extend([" " + p for p in rest])
-        return out
-    for p in rest:
-        if (not p or p[0].isspace()) and out:
-            out[-1] += " " + p
-        else:
-            out.append(" " + p)
-    return out
+    def _joined(self, some: list[str], own: np.ndarray, between: str) -> None:
+        texts = [between.join(some[a : a + _JOIN]) for a in range(0, len(some), _JOIN)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+        gap = np.full(len(some), len(between))
+        gap[_JOIN - 1 :: _JOIN] = 0
+        gap[-1] = 0
+        end = np.cumsum(self.bytes[ids])
+        stop = np.cumsum(own + gap)
+        low, high = np.searchsorted(end, stop - gap - own, "right"), np.searchsorted(end, stop - gap, "right")
+        if end[-1] != stop[-1] or (end[high - 1] != stop - gap).any():
+            raise ValueError("a token crosses the boundary of a piece")
+        if between:
+            inside = np.zeros(len(ids) + 1, np.int64)
+            np.add.at(inside, low, 1)
+            np.add.at(inside, high, -1)
+            ids = ids[np.cumsum(inside[:-1]) > 0]
+        self._add(some, ids, high - low)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As in the table, but added tokens give their one id."""
+        column = column.fill_null("")
+        if self.added is None or not pc.any(pc.match_substring_regex(column, self.added.pattern)).as_py():
+            return super().encode(column)
+        # Rows with added tokens: their parts and the tokens are rows of their own for a while.
+        parts, owner, token = [], [], []
+        for row, text in enumerate(column.to_pylist()):
+            at = 0
+            for found in self.added.finditer(text):
+                parts += [text[at : found.start()], ""]
+                owner += [row, row]
+                token += [-1, self.library.token_to_id(found.group())]
+                at = found.end()
+            parts.append(text[at:])
+            owner.append(row)
+            token.append(-1)
+        ids, sizes = super().encode(pa.array(parts, pa.large_string()))
+        fixed = np.array(token)
+        put = np.flatnonzero(fixed >= 0)
+        ids = np.insert(ids, (np.cumsum(sizes) - sizes)[put], fixed[put].astype(np.uint32))
+        sizes[put] = 1
+        return ids, np.bincount(np.array(owner), sizes, len(column)).astype(np.int64)
 
 
 def encoder(path: str) -> PieceEncoder:
