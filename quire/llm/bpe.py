@@ -1,206 +1,184 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries.
 
 Each Python worker holds an in-memory DuckDB database with the vocabulary and a
-merge table (left id, right id, merged id).  New words become token-position
-rows; the recursive query contracts the leftmost pair of least rank of every
-word at once and ends when no word has a pair left.  Words of more than
-``LONG_WORD`` bytes do not take the recursive query, whose rounds would be
-quadratic in them: a loop runs a plain statement that contracts all places of the
-least rank in each round.  Decoding joins ids to their
-bytes and aggregates them in order.
-
-Text is cut before spaces that precede a non-space, which the pattern never
-crosses, so pieces repeat across documents: each distinct piece is encoded once
-per worker, in a table of bounded size.
+merge table (left id, right id, merged id).  Words, the matches of the pattern,
+become token-position rows that name the row after them.  One recursive query
+contracts them, whatever their length: in each round every word's pairs of least
+rank, from the left and without overlap, until no word has a pair left.  A round
+of a word gives what one contraction at a time would, because every pair that a
+contraction makes ranks above it: each token of a vocabulary is reached by merges
+of lower rank than its own (``sound`` tests that).  The query keeps the present
+row of each position only, so its memory doesn't grow with its rounds.
+
+Decoding joins the ids of each document to their bytes and aggregates them in
+order.
+
+Texts are cut at places that the pattern never crosses (see ``tokens``); each
+distinct piece is encoded once per worker, in a table of bounded size.
 """
 
 from __future__ import annotations
 
 import base64
-import re
+import os
+import tempfile
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.tokens import PieceTable, spread
 from quire.llm.wordhash import slices
 
-MOST_PIECES = 600_000
-LONG = 64
-BATCH_BYTES = 1_000_000
-LONG_WORD = 400
-_RARE_CUT = re.compile(r" (?=\s|\Z)")
+BATCH_BYTES = 300_000
+DECODE_TOKENS = 1 << 20
+SLICE_BYTES = 1 << 23
 _LOADED: dict[tuple[str, str], "Bpe"] = {}
 
-# A token's row names the position of the token after it, so a contraction is two joins.
 ENCODE = """
-WITH RECURSIVE step(word, pos, token, next, round) AS (
-    SELECT word, pos, token, pos + 1, 0 FROM start
+WITH RECURSIVE step(place, token, next, next_token, merged) USING KEY (place) AS (
+    SELECT (s.word::BIGINT << 32) | s.pos, s.token, s.pos + 1, s.next_token, m.merged
+    FROM (SELECT word, pos, token, lead(token) OVER (PARTITION BY word ORDER BY pos) AS next_token FROM start) s
+    LEFT JOIN merges m ON m.pair = (s.token::BIGINT << 32) | s.next_token
+    UNION
+    (WITH live AS MATERIALIZED (
+        SELECT (place >> 32)::INTEGER AS word, (place & 4294967295)::INTEGER AS pos, token, next, next_token, merged FROM recurring.step WHERE token >= 0
+    ), least AS (
+        SELECT word, min(merged) AS merged FROM live WHERE merged IS NOT NULL GROUP BY word
+    ), places AS (
+        SELECT t.word, t.pos, t.next, t.merged, coalesce(t.pos = lag(t.next) OVER (PARTITION BY t.word ORDER BY t.pos), false) AS follows
+        FROM live t JOIN least l ON l.word = t.word AND l.merged = t.merged
+    ), runs AS (
+        SELECT *, count(*) FILTER (NOT follows) OVER (PARTITION BY word ORDER BY pos) AS run FROM places
+    ), hits AS MATERIALIZED (
+        SELECT word, pos, next AS gone, merged, lead(pos) OVER w AS hit_after, lag(next) OVER w AS gone_before
+        FROM (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS nth FROM runs)
+        WHERE nth % 2 = 1 WINDOW w AS (PARTITION BY word ORDER BY pos)
+    ), changed AS (
+        SELECT h.word, h.pos, h.merged AS token, g.next, CASE WHEN g.next = h.hit_after THEN h.merged ELSE g.next_token END AS next_token
+        FROM live g JOIN hits h ON h.word = g.word AND h.gone = g.pos
+        UNION ALL
+        SELECT t.word, t.pos, t.token, t.next, h.merged
+        FROM live t JOIN hits h ON h.word = t.word AND h.pos = t.next
+        WHERE t.pos IS DISTINCT FROM h.gone_before
+    )
+    SELECT (c.word::BIGINT << 32) | c.pos, c.token, c.next, c.next_token, m.merged
+    FROM changed c LEFT JOIN merges m ON m.pair = (c.token::BIGINT << 32) | c.next_token
     UNION ALL
-    SELECT t.word, t.pos,
-           CASE WHEN t.pos = (c.best & 1048575) THEN (c.best >> 20)::INTEGER ELSE t.token END,
-           CASE WHEN t.pos = (c.best & 1048575) THEN c.after ELSE t.next END,
-           t.round + 1
-    FROM step t JOIN (
-        SELECT x.word,
-               min((m.merged::BIGINT << 20) + x.pos) AS best,
-               arg_min(y.pos, (m.merged::BIGINT << 20) + x.pos) AS gone,
-               arg_min(y.next, (m.merged::BIGINT << 20) + x.pos) AS after
-        FROM step x JOIN step y ON y.word = x.word AND y.pos = x.next JOIN merges m ON m.l = x.token AND m.r = y.token
-        GROUP BY x.word
-    ) c ON c.word = t.word
-    WHERE t.pos <> c.gone
+    SELECT (word::BIGINT << 32) | gone, -1, NULL, NULL, NULL FROM hits
+    )
 )
-SELECT s.word, s.token FROM step s JOIN (SELECT word, max(round) AS last FROM step GROUP BY word) l ON l.word = s.word AND l.last = s.round ORDER BY s.word, s.pos
+SELECT place >> 32 AS word, token FROM step WHERE token >= 0 ORDER BY place
 """
 
-# One round over long words: all pairs of the word's least rank, from the left, without overlap.
-CONTRACT = """
-CREATE OR REPLACE TEMP TABLE after AS
-WITH paired AS (
-    SELECT p.*, m.merged FROM (
-        SELECT word, pos, token, row_number() OVER w AS nth, lead(token) OVER w AS next FROM before WINDOW w AS (PARTITION BY word ORDER BY pos)
-    ) p LEFT JOIN merges m ON m.l = p.token AND m.r = p.next
-), least AS (
-    SELECT *, min(merged) OVER (PARTITION BY word) AS best FROM paired
-), runs AS (
-    SELECT *, CASE WHEN merged = best THEN nth - row_number() OVER (PARTITION BY word, coalesce(merged = best, false) ORDER BY pos) END AS run FROM least
-), chosen AS (
-    SELECT *, run IS NOT NULL AND row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = 1 AS hit FROM runs
-), placed AS (
-    SELECT *, coalesce(lag(hit) OVER (PARTITION BY word ORDER BY pos), false) AS gone FROM chosen
-)
-SELECT word, pos, CASE WHEN hit THEN merged ELSE token END AS token, best IS NOT NULL AS live FROM placed WHERE NOT gone
-"""
-
-DECODE = "SELECT i.item, string_agg(v.hex, '' ORDER BY i.pos) AS hex FROM ids i JOIN vocabulary v ON v.id = i.token GROUP BY i.item"
-
+DECODE = "SELECT i.item, list(v.bytes ORDER BY i.pos) AS bytes FROM ids i JOIN vocabulary v ON v.id = i.token GROUP BY i.item ORDER BY i.item"
 
-def pieces(text: str) -> list[str]:
-    """Cut before every space that is followed by a non-space."""
-    head, *rest = text.split(" ")
-    out = [head] if head else []
-    if not _RARE_CUT.search(text):
-        out.extend([" " + p for p in rest])
-        return out
-    for p in rest:
-        if (not p or p[0].isspace()) and out:
-            out[-1] += " " + p
-        else:
-            out.append(" " + p)
-    return out
 
-
-class Bpe:
+class Bpe(PieceTable):
     """Encoder and decoder of one rank file."""
 
     def __init__(self, ranks_path: str, pattern: str):
         import duckdb
         import regex
 
+        super().__init__()
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.ids: dict[str, bytes] = {}
-        self.back: dict[str, bytes] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB"})
-        rows = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        left, right, merged = (pa.array(c, pa.int32()) for c in zip(*rows))
-        self._load("merges", pa.table({"l": left, "r": right, "merged": merged}))
-        self._load("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
+        spill = os.path.join(tempfile.gettempdir(), f"quire-duckdb-{os.getpid()}")
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": spill})
+        rows = [(self.ranks[t[:k]] << 32 | self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
+        pair, merged = zip(*rows)
+        self._load("merges", pa.table({"pair": pa.array(pair, pa.int64()), "merged": pa.array(merged, pa.int32())}))
+        self._load("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())}))
 
     def _load(self, name: str, table: pa.Table) -> None:
         self.db.register("arriving", table)
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM arriving")
         self.db.unregister("arriving")
 
-    def _start(self, words: list[bytes], name: str) -> None:
-        size = np.array([len(w) for w in words])
-        flat = np.frombuffer(b"".join(words), np.uint8)
+    def contracted(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, end to end, and their number in each, by the recursive query."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
         word = np.repeat(np.arange(len(words), dtype=np.int32), size)
-        pos = (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-        self._load(name, pa.table({"word": word, "pos": pos, "token": self.byte_id[flat]}))
-
-    def merge(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word; a word that is a token itself is that token."""
-        out = [b""] * len(words)
-        short, long_ = [], []
-        for i, w in enumerate(words):
-            if (r := self.ranks.get(w)) is not None:
-                out[i] = r.to_bytes(4, "little")
-            else:
-                (short if len(w) <= LONG_WORD else long_).append(i)
-        a = 0
-        while a < len(short):
-            b, held = a, 0
-            while b < len(short) and held < BATCH_BYTES:
-                held += len(words[short[b]])
-                b += 1
-            self._start([words[i] for i in short[a:b]], "start")
-            self._deal(short[a:b], self.db.execute(ENCODE).fetchnumpy(), out)
-            a = b
-        for i in long_:
-            self._start([words[i]], "before")
-            while True:
-                self.db.execute(CONTRACT)
-                if not self.db.execute("SELECT coalesce(bool_or(live), false) FROM after").fetchall()[0][0]:
-                    break
-                self.db.execute("CREATE OR REPLACE TEMP TABLE before AS SELECT word, pos, token FROM after")
-            self._deal([i], self.db.execute("SELECT word, token FROM after ORDER BY word, pos").fetchnumpy(), out)
-        return out
-
-    @staticmethod
-    def _deal(which: list[int], got: dict, out: list[bytes]) -> None:
-        flat = np.asarray(got["token"]).astype("<u4").tobytes()
-        edge = (4 * np.searchsorted(np.asarray(got["word"]), np.arange(len(which) + 1))).tolist()
-        for k, i in enumerate(which):
-            out[i] = flat[edge[k] : edge[k + 1]]
-
-    def decode(self, items: list[bytes]) -> list[bytes]:
-        """Bytes of each list of ids, by ordered aggregation."""
-        size = np.array([len(x) // 4 for x in items], np.int64)
-        out = [b""] * len(items)
-        if not size.sum():
-            return out
-        item = np.repeat(np.arange(len(items), dtype=np.int32), size)
-        pos = (np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-        self._load("ids", pa.table({"item": item, "pos": pos, "token": np.frombuffer(b"".join(items), "<u4").astype(np.int32)}))
-        got = self.db.execute(DECODE).fetchnumpy()
-        for i, h in zip(got["item"].tolist(), got["hex"].tolist()):
-            out[i] = bytes.fromhex(h)
-        return out
-
-    def learn(self, new: list[str]) -> set[str]:
-        """Encode and decode pieces that this worker has not seen; return all that it added."""
+        pos = (np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        self._load("start", pa.table({"word": word, "pos": pos, "token": self.byte_id[np.frombuffer(b"".join(words), np.uint8)]}))
+        got = self.db.execute(ENCODE).fetchnumpy()
+        return np.asarray(got["token"]).astype(np.uint32), np.bincount(np.asarray(got["word"]), minlength=len(words))
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, end to end, and their number in each; a word that is a token itself is that token."""
+        raw = [w.encode() for w in words]
+        token = np.fromiter(map(self.ranks.get, raw, repeat(-1)), np.int64, len(raw))
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        rest = np.flatnonzero(token < 0)
+        rest = rest[np.argsort(length[rest], kind="stable")]  # words of one batch take about as many rounds
+        edge = np.cumsum(length[rest])
+        size, flat, at = np.ones(len(raw), np.int64), [token[token >= 0].astype(np.uint32)], 0
+        while at < len(rest):
+            before = edge[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(edge, before + BATCH_BYTES, "right")))
+            ids, size[rest[at:to]] = self.contracted([raw[i] for i in rest[at:to].tolist()])
+            flat.append(ids)
+            at = to
+        order = np.concatenate([np.flatnonzero(token >= 0), rest])
+        start = np.empty(len(raw), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate(flat)[spread(start, size)], size
+
+    def _learn(self, new: list[str], first: np.ndarray, last: np.ndarray, own: np.ndarray) -> None:
         split = [self.pattern.findall(p) for p in new]
-        words = [w for w in {w for s in split for w in s} if w not in self.ids]
-        ids = self.merge([w.encode() for w in words])
-        self.ids.update(zip(words, ids))
-        self.back.update(zip(words, self.decode(ids)))
-        for p, s in zip(new, split):
-            if len(s) > 1:
-                self.ids[p] = b"".join([self.ids[w] for w in s])
-                self.back[p] = b"".join([self.back[w] for w in s])
-        return {*new, *words}
-
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian u32, decoded bytes) of each text; null is empty."""
-        split = [pieces(t) if t else [] for t in texts]
-        new: set[str] = set()
-        for p in split:
-            new.update(p)
-        if len(self.ids) + len(new) > MOST_PIECES:
-            self.ids, self.back = {}, {}
-        new.difference_update(self.ids.keys())
-        added = self.learn(list(new)) if new else new
-        ids, back = self.ids.__getitem__, self.back.__getitem__
-        out = [(b"".join(map(ids, p)), b"".join(map(back, p))) for p in split]
-        for p in added:
-            if len(p) > LONG:
-                del self.ids[p], self.back[p]
-        return out
+        number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        ids, size = self.merge(list(number))
+        many = np.fromiter(map(len, split), np.int64, len(split))
+        word = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(many.sum()))
+        upto = np.concatenate([[0], np.cumsum(size[word])])
+        self._add(new, ids[spread((np.cumsum(size) - size)[word], size[word])], np.diff(upto[np.concatenate([[0], np.cumsum(many)])]))
+
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """The bytes of each document from its ids, by ordered aggregation over id rows."""
+        item = np.repeat(np.arange(len(sizes)), sizes)
+        length, body = np.zeros(len(sizes) + 1, np.int64), []
+        for a in range(0, len(ids), DECODE_TOKENS):
+            own = item[a : a + DECODE_TOKENS]
+            self._load("ids", pa.table({"item": own, "pos": np.arange(len(own), dtype=np.int32), "token": ids[a : a + DECODE_TOKENS].astype(np.int32)}))
+            got = self.db.sql(DECODE).to_arrow_table().combine_chunks()
+            lists = got.column("bytes").chunk(0)
+            data, edge = _bytes(lists.flatten())
+            at = edge[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+            length[1 + np.asarray(got.column("item"))] += np.diff(at)
+            body.append(data)
+        offs = np.cumsum(length)
+        flat = np.concatenate(body) if body else np.zeros(0, np.uint8)
+        return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offs), pa.py_buffer(flat)])
+
+
+def sound(ranks: dict[bytes, int]) -> bool:
+    """Whether every token comes out of its own bytes by merges that rank no higher than it.
+
+    Then no contraction makes a pair of lower rank than its own: where a token t
+    could be made of parts that stand side by side, the merges within t rank no
+    higher than t and would have come before.  So a round may take all places of
+    the least rank.
+    """
+    for token, own in ranks.items():
+        parts = [token[k : k + 1] for k in range(len(token))]
+        while len(parts) > 1:
+            r, k = min(((ranks.get(parts[k] + parts[k + 1], 1 << 40), k) for k in range(len(parts) - 1)))
+            if r > own:
+                return False
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return True
+
+
+def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Data and offsets (from 0) of a binary array without nulls."""
+    kind = np.int64 if pa.types.is_large_binary(values.type) else np.int32
+    offs = np.frombuffer(values.buffers()[1], kind)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    return np.frombuffer(values.buffers()[2], np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
 def worker(ranks_path: str, pattern: str) -> Bpe:
@@ -211,7 +189,7 @@ def worker(ranks_path: str, pattern: str) -> Bpe:
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, ids (little-endian unsigned 32-bit), decoded (bytes).
+    """Per row: doc_id, ids (little-endian unsigned 32-bit), decoded (bytes of those ids).
 
     A null or empty text has no ids.  Every row gives a row, repeated ones too;
     other columns are ignored; an empty table gives an empty result.  No special
@@ -221,9 +199,11 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     def run(batches):
         bpe = worker(ranks_path, pattern)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 22):
-                both = bpe.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], names=["doc_id", "ids", "decoded"])
+            for part in slices(batch, "text", SLICE_BYTES):
+                ids, sizes = bpe.encode(part.column(1))
+                offs = 4 * np.concatenate([[0], np.cumsum(sizes)])
+                coded = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offs), pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([part.column(0), coded.cast(pa.binary()), bpe.decode(ids, sizes).cast(pa.binary())], names=["doc_id", "ids", "decoded"])
 
     lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return lean.mapInArrow(run, "doc_id long, ids binary, decoded binary")
