@@ -199,6 +199,74 @@ def test_forest_of_two_blocks():
     rule = jaccard.Rule(4, 85)
     assert jaccard.forest([a, c], [b], rule) == [(0, 2)]
     assert jaccard.forest([a, b, c], None, rule) == [(0, 1)]
+    assert jaccard.forest([a, b, c], None, rule, np.array([7, 7, 3])) == []
+
+
+def test_answers_are_derived_from_similar_sets():
+    rnd = random.Random(8)
+    base = rnd.sample(range(10_000), 200)
+    sets = [set(base) ^ set(rnd.sample(range(10_000), 6)) for _ in range(30)] + [set(rnd.sample(range(20_000, 30_000), 50)) for _ in range(5)]
+    sets = [np.array(sorted(s), np.uint64) for s in sets]
+    got = {i: (both, base) for i, both, base in jaccard.answers(sets, 33)}
+    assert sorted(got) == list(range(33))
+    for i, (both, _) in got.items():
+        assert both.tolist() == [len(np.intersect1d(sets[i], s)) for s in sets]
+    assert sum(b >= 0 for _, b in got.values()) == 29  # all similar ones but the first; the others from nothing
+
+
+def test_blocks_of_index_lists_are_skipped_by_position():
+    rnd, rule = random.Random(9), jaccard.Rule(4, 85)
+    rows = sorted((t, n, rnd.randrange(rule.prefix(n)), d) for d, (t, n) in enumerate((rnd.randrange(3), rnd.randint(20, 60)) for _ in range(400)))
+    run, n, pos, doc = (np.array(c) for c in zip(*rows))
+    want = set()
+    for x, y in itertools.combinations(range(len(rows)), 2):
+        need = -(-85 * (n[x] + n[y]) // 185)
+        if run[x] == run[y] and 85 * n[y] <= 100 * n[x] and min(n[x] - pos[x], n[y] - pos[y]) >= need:
+            want.add((min(doc[x], doc[y]), max(doc[x], doc[y])))
+    got = [p for a, b in jaccard.list_pairs(doc, n, pos, run, rule) for p in zip(a.tolist(), b.tolist())]
+    assert len(got) == len(set(got)) and set(got) == want
+    _, left, right, skipped = jaccard.list_blocks(n, pos, run, rule)
+    blocks = sorted(set(zip(run.tolist(), n.tolist(), pos.tolist())))
+    reach = [(a, b) for i, a in enumerate(blocks) for b in blocks[i:] if a[0] == b[0] and 85 * b[1] <= 100 * a[1] and a[1] - a[2] >= -(-85 * (a[1] + b[1]) // 185)]
+    assert skipped == len(reach) - len(left) > 400  # of 1,805 meetings, each of them whole
+
+
+def test_pair_bounds_and_overlaps():
+    rnd = random.Random(10)
+    sets = [np.unique(np.array([rnd.getrandbits(63) if rnd.random() < 0.3 else k * 7919 << 24 for k in range(rnd.randint(1, 200))], np.uint64)) for _ in range(60)]
+    a, b = sets[::2], sets[1::2]
+    true = [len(np.intersect1d(x, y)) for x, y in zip(a, b)]
+    assert jaccard.overlap([x.tobytes() for x in a], [y.tobytes() for y in b]).tolist() == true
+    far = jaccard.apart([jaccard.parity(x).tobytes() for x in a], [jaccard.parity(y).tobytes() for y in b])
+    assert all(f <= len(x) + len(y) - 2 * t for f, x, y, t in zip(far, a, b, true)) and far.sum() > 0
+
+
+def test_jaccard_groups_in_lanes_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LONG_LIST", 5)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
+    monkeypatch.setattr(jaccard, "LANE_SETS", 10)
+    rnd = random.Random(11)
+    texts = []
+    for g in range(3):  # chains and stars of near copies of one template
+        w = [f"t{i}" for i in range(60)] + [f"g{g}x{i}" for i in range(40)]
+        for k in range(40):
+            w = list(w) if k % 2 else w
+            v = list(w)
+            for _ in range(rnd.randint(0, 3)):
+                v[rnd.randrange(100)] = f"q{rnd.randrange(30)}"
+            texts.append(" ".join(v))
+            if k % 8 == 7:
+                w = v
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(frame(spark, texts, extra=False), 4, 85).collect()}
+    assert got == brute_groups(texts, 4, 85) and len({c for _, c in got.values()}) < len(texts) / 2
+
+
+def test_jaccard_of_repeated_and_missing_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a), (None, b), (None, c), (None, c), (5, a), (5, b + " x"), (6, c), (6, c), (7, None), (None, ""), (8, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(3)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.join(docs, 4, 85).collect())
+    assert got == sorted((str(i), (38 if t and t.endswith(" x") else 37 if t else 0), "7" if i == 7 else "None") for i, t in rows)
 
 
 def test_bpe_matches_the_library(spark):
