@@ -5,9 +5,9 @@ holds the 64-bit digest of each distinct one.  Every digest goes to one cell of
 each of three sub-tables; a cell keeps a count, the XOR of its digests and the
 XOR of their check hashes.  The sketches of two versions subtract cell by cell,
 and peeling cells of one digest recovers the digests that differ, hence the
-Jaccard likeness of the sets.  Where peeling stalls, larger sketches are built:
-the digests are dealt to stripes of 33 cells, then of twice and four times that;
-a stripe that still fails is compared digest by digest.
+Jaccard likeness of the sets.  Where the 33 cells of a fingerprint don't peel, the
+digests are dealt to stripes of about 14, and each stripe gets a sketch of 33
+cells, then of 66, 132 and so on with new hashes, until it peels.
 
 Everything is DataFrame expressions.  Texts move once, to buckets of neighbouring
 ids; all sketches are made and peeled within their row.
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 SIDE = 11
 TABLES = 3
 ROUNDS = 10
+RETRIES = 10
 STRIPE_DIGESTS = 14
 BUCKET_DOCS = 2000
 RANGES = 256
@@ -35,21 +36,23 @@ def paragraphs(text: Column) -> Column:
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
-def _in_cell(x: Column, table: Column, place: Column, side: int) -> Column:
-    """Whether digest x goes to that place of that sub-table."""
-    return F.pmod(F.call_function("shiftrightunsigned", x, table * 20), F.lit(side)) == place
+def _in_cell(x: Column, at: Column, side: Column, salt: Column | None) -> Column:
+    """Whether digest x goes to that place (t, p) of that sub-table."""
+    h = x if salt is None else F.xxhash64(x, salt)
+    return F.pmod(F.call_function("shiftrightunsigned", h, at["t"] * 20), side) == at["p"]
 
 
-def _cells(side: int) -> Column:
+def _cells(side: Column) -> Column:
     """(sub-table, place) of every cell."""
-    return F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t in range(TABLES) for p in range(side)])
+    return F.transform(F.sequence(F.lit(0), side * TABLES - 1), lambda i: F.struct(F.floor(i / side).cast("int").alias("t"), (i % side).alias("p")))
 
 
-def sketch(digests: Column, side: int = SIDE) -> Column:
-    """The cells of a set of digests: array<struct<c, x, k>>."""
+def sketch(digests: Column, side: Column | int = SIDE, salt: Column | None = None) -> Column:
+    """The cells of a set of digests: array<struct<c, x, k>>; ``salt`` renews the hashes."""
+    side = F.lit(side) if isinstance(side, int) else side
 
     def cell(at: Column) -> Column:
-        own = F.filter(digests, lambda x: _in_cell(x, at["t"], at["p"], side))
+        own = F.filter(digests, lambda x: _in_cell(x, at, side, salt))
         zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("k"))
         add = lambda a, x: F.struct((a["c"] + 1).alias("c"), a["x"].bitwiseXOR(x).alias("x"), a["k"].bitwiseXOR(F.xxhash64(x)).alias("k"))
         return F.aggregate(own, zero, add)
@@ -62,8 +65,9 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda p, q: F.struct((p["c"] - q["c"]).alias("c"), p["x"].bitwiseXOR(q["x"]).alias("x"), p["k"].bitwiseXOR(q["k"]).alias("k")))
 
 
-def peel(cells: Column, side: int = SIDE) -> Column:
+def peel(cells: Column, side: Column | int = SIDE, salt: Column | None = None) -> Column:
     """struct<ok, found>: the digests left in a difference, with their side (1 or -1)."""
+    side = F.lit(side) if isinstance(side, int) else side
     empty = F.array().cast(f"array<{FOUND}>")
     at = _cells(side)
 
@@ -73,7 +77,7 @@ def peel(cells: Column, side: int = SIDE) -> Column:
 
         def removed(one: Column) -> Column:
             def drop(v: Column, place: Column) -> Column:
-                take = lambda a, s: F.when(_in_cell(s["x"], place["t"], place["p"], side), F.struct((a["c"] - s["c"]).alias("c"), a["x"].bitwiseXOR(s["x"]).alias("x"), a["k"].bitwiseXOR(F.xxhash64(s["x"])).alias("k"))).otherwise(a)
+                take = lambda a, s: F.when(_in_cell(s["x"], place, side, salt), F.struct((a["c"] - s["c"]).alias("c"), a["x"].bitwiseXOR(s["x"]).alias("x"), a["k"].bitwiseXOR(F.xxhash64(s["x"])).alias("k"))).otherwise(a)
                 return F.aggregate(one, v, take)
 
             return F.struct(F.zip_with(state["cells"], at, drop).alias("cells"), F.concat(state["found"], one).alias("found"))
@@ -91,28 +95,36 @@ def _or_else(tried: Column, more: Column) -> Column:
     return F.element_at(F.transform(F.array(tried), lambda r: F.when(r["ok"], r["found"]).otherwise(more)), 1)
 
 
-def _exact(a: Column, b: Column) -> Column:
-    side = lambda d, c: F.transform(d, lambda x: F.struct(x.alias("x"), F.lit(c).alias("c")))
-    return F.concat(side(F.array_except(a, b), 1), side(F.array_except(b, a), -1))
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: the one-element array binds it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _larger(a: Column, b: Column) -> Column:
-    """The retry: stripes of the digests, each with sketches of 33, 66 and 132 cells."""
-    count = F.greatest(F.ceil((F.size(a) + F.size(b)) / STRIPE_DIGESTS).cast("int"), F.lit(1))
+    """The retry: digests in stripes, each with ever larger sketches until its difference peels."""
+    count = F.greatest(F.ceil((F.size(a) + F.size(b)) / STRIPE_DIGESTS), F.lit(1))
+    dealt = lambda d, side: F.transform(d, lambda x: F.struct(F.pmod(F.xxhash64(x, F.lit(5)), count).alias("s"), F.lit(side).alias("c"), x.alias("x")))
+    none = F.struct(F.lit(False).alias("ok"), F.array().cast(f"array<{FOUND}>").alias("found"))
+    fault = F.raise_error(F.lit("a stripe of digests does not peel"))
 
-    def stripe(s: Column) -> Column:
-        own = lambda d: F.filter(d, lambda x: F.pmod(F.xxhash64(x, F.lit(5)), count.cast("bigint")) == s)
+    def solve(own: Column) -> Column:
+        part = lambda c: F.transform(F.filter(own, lambda v: v["c"] == c), lambda v: v["x"])
 
-        def solve(two: Column) -> Column:
-            p, q = two["p"], two["q"]
-            out = _exact(p, q)
-            for side in (4 * SIDE, 2 * SIDE, SIDE):
-                out = _or_else(peel(subtract(sketch(p, side), sketch(q, side)), side), out)
-            return out
+        def retry(two: Column) -> Column:
+            def tried(state: Column, k: Column) -> Column:
+                side = F.call_function("shiftleft", F.lit(SIDE), k)
+                return F.when(state["ok"], state).otherwise(peel(subtract(sketch(two["p"], side, k), sketch(two["q"], side, k)), side, k))
 
-        return F.element_at(F.transform(F.array(F.struct(own(a).alias("p"), own(b).alias("q"))), solve), 1)
+            return F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES)), none, tried, lambda s: F.when(s["ok"], s["found"]).otherwise(fault.cast(f"array<{FOUND}>")))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), count - 1), stripe))
+        return _once(F.struct(part(1).alias("p"), part(-1).alias("q")), retry)
+
+    def stripes(ordered: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i)["s"] != F.get(ordered, i - 1)["s"]))
+        return _once(first, lambda at: F.flatten(F.transform(at, lambda i, n: solve(F.slice(ordered, i + 1, F.coalesce(F.get(at, n + 1), F.size(ordered)) - i)))))
+
+    every = F.sort_array(F.concat(dealt(a, 1), dealt(b, -1)))
+    return F.when(F.size(a) + F.size(b) == 0, F.array().cast(f"array<{FOUND}>")).otherwise(_once(every, stripes))
 
 
 def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
@@ -127,8 +139,16 @@ def likeness(a: Column, b: Column, found: Column) -> Column:
 
 
 def code(cells: Column) -> Column:
-    """A sketch as text: count and XOR of each cell, in hexadecimal."""
-    return F.lower(F.array_join(F.transform(cells, lambda v: F.concat(F.lpad(F.hex(v["c"]), 4, "0"), F.lpad(F.hex(v["x"]), 16, "0"))), ""))
+    """A sketch as text: count, XOR and check of each cell in hexadecimal, an empty cell as nothing."""
+    cell = lambda v: F.when(v["c"] == 0, "").otherwise(F.concat_ws(":", F.hex(v["c"]), F.hex(v["x"]), F.hex(v["k"])))
+    return F.lower(F.array_join(F.transform(cells, cell), ";"))
+
+
+def decoded(text: Column) -> Column:
+    """The cells of a fingerprint, for subtract() and peel()."""
+    number = lambda parts, i: F.coalesce(F.conv(F.get(parts, F.lit(i)), 16, -10).cast("bigint"), F.lit(0).cast("bigint"))
+    cell = lambda parts: F.struct(number(parts, 0).cast("int").alias("c"), number(parts, 1).alias("x"), number(parts, 2).alias("k"))
+    return F.transform(F.split(text, ";"), lambda v: _once(F.split(F.nullif(v, F.lit("")), ":"), cell))
 
 
 def _buckets(ids: DataFrame) -> tuple[Column, int]:
@@ -164,11 +184,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = base.select("id")
-    bucket, _ = _buckets(ids)
+    bucket, cuts = _buckets(ids)
     dealt = base.withColumn("bucket", bucket)
-    tops = ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.max("id").alias("id"))
-    up = F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.min("bucket").over(Window.partitionBy()))
-    above = tops.withColumn("above", up).select("id", "above")
+    tops = ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.max("id").alias("id")).withColumn("range", F.floor(F.col("bucket") / cuts))
+    # The bucket above: in the same range, else the first of the next one; there are RANGES ranges at most.
+    first = tops.groupBy("range").agg(F.min("bucket").alias("first"))
+    first = first.select("range", F.coalesce(F.lead("first").over(Window.orderBy("range")), F.min("first").over(Window.partitionBy())).alias("further"))
+    up = F.coalesce(F.lead("bucket").over(Window.partitionBy("range").orderBy("bucket")), F.col("further"))
+    above = tops.join(F.broadcast(first), "range").withColumn("above", up).select("id", "above")
     ghosts = base.join(above, "id").groupBy("above").agg(F.max("text").alias("text")).select(F.col("above").alias("bucket"), "text", F.lit(True).alias("ghost"))
     rows = dealt.withColumn("ghost", F.lit(False)).unionByName(ghosts, allowMissingColumns=True)
     before = Window.partitionBy("bucket").orderBy(F.col("ghost").desc(), "id", "text")

@@ -302,6 +302,31 @@ def test_fingerprints(spark):
     assert fingerprints.compared(frame(spark, texts)).count() == len(texts) + 3
 
 
+def test_fingerprints_alone_give_the_difference(spark):
+    a, b = [f"p{i}" for i in range(40)], [f"p{i}" for i in range(37)] + ["new", "newer"]
+    df = spark.createDataFrame([("\n".join(a), "\n".join(b))], "a string, b string")
+    sides = [fingerprints.code(fingerprints.sketch(fingerprints.paragraphs(F.col(c)))).alias(c) for c in "ab"]
+    cells = df.select(*sides, *[F.col(c).alias(f"text_{c}") for c in "ab"]).select("*", *[fingerprints.decoded(F.col(c)).alias(f"cells_{c}") for c in "ab"])
+    r = cells.select("text_a", "text_b", fingerprints.peel(fingerprints.subtract(F.col("cells_a"), F.col("cells_b"))).alias("p"), fingerprints.paragraphs(F.col("text_a")).alias("da"), fingerprints.paragraphs(F.col("text_b")).alias("db")).first()
+    assert r["p"]["ok"]
+    assert {(f["x"], f["c"]) for f in r["p"]["found"]} == {(x, 1) for x in set(r["da"]) - set(r["db"])} | {(x, -1) for x in set(r["db"]) - set(r["da"])}
+    assert len(r["p"]["found"]) == 5
+
+
+def test_fingerprints_of_many_paragraphs_and_repeated_ids(spark):
+    many = ["\n".join(f"{x}{i}" for i in range(4000)) for x in "ab"]
+    rows = [(1, many[0]), (2, many[1]), (3, "x"), (3, "x"), (3, "y"), (None, "n"), (None, None), (4, "\n".join(["same"] * 70_000))]
+    got = sorted((r["doc_id"] or 0, r["text"], r["edited"], round(r["near_next"], 6)) for r in fingerprints.compared(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    order = sorted((i or 0, t or "") for i, t in rows)  # a null id comes before all others here
+    want = []
+    for k, (i, t) in enumerate(order):
+        nxt = order[k - 1][1]
+        half = len(t) // 2
+        p, q = ({x for x in s.split("\n") if x} for s in (t, nxt))
+        want.append((i, t, t[: len(t) - half] + nxt[:half], round(len(p & q) / len(p | q), 6) if p | q else 1.0))
+    assert got == sorted(want)
+
+
 def test_substring_dedup(spark):
     texts = corpus(50)
     seen, want = set(), {}
