@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import bpe, fingerprints, jaccard, neardup, packing, quality, sharding, substring, token_store, warc
+from quire.llm.oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_additive_quality": quality.query,
@@ -20,5 +23,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_segments": warc.query,
     "op10_pattern_packing": packing.query,
 }
-
-ORACLE_SQL: dict[str, str] = {}
