@@ -65,6 +65,13 @@ class Config:
     table_pages: tuple[int, ...] = ()
     skip_pages: tuple[int, ...] = ()
     headings: tuple[tuple[int, str, int], ...] = field(default=())
+    image_regions: tuple[tuple[int, tuple[float, float, float, float], str], ...] = ()
+    title: str = ""
+    area: str = ""
+    author: str = ""
+    title_skip: tuple[str, ...] = ("livro eletrônico",)
+    author_skip: tuple[str, ...] = ("CÓDIGO", "PRESIDENTE")
+    plain_phrases: tuple[str, ...] = ()
     box_exclusions: tuple[tuple[int | None, str], ...] = ()
 
 

@@ -1,16 +1,22 @@
-"""Text patterns, in a dialect that Spark and DuckDB read alike."""
+"""Text patterns, in a dialect that Spark and DuckDB read alike.
+
+``(?i)`` folds ASCII letters only in Java, so accented letters stand in pairs.
+"""
 
 QUESTION = r"^([0-9]{3})[.]\s*(.+)"
 ALTERNATIVE = r"^([a-eA-E])[)]\s*(.+)"
 ROMAN = r"^([IVXLCDM]{1,7})\s*[–—-]\s*(.+)"
-BULLET = r"^([•◦▪■□◆◇‣⁃])\s*(.*)"
-DASH = r"^([−–—-])\s+(.+)"
-ARTICLE = r"^[Aa][Rr][Tt][.]\s*[0-9]+[ºo°O]?[.]?(\s|$)"
-LEGAL_ITEM = r"^(§\s*[0-9]+|[Pp][Aa][Rr][ÁáAa][Gg][Rr][Aa][Ff][Oo]\s+[ÚúUu][Nn][Ii][Cc][Oo])"
-ANSWER = r"^([Ll][Ee][Tt][Rr][Aa]\s+[a-eA-E]|[Cc][Ee][Rr][Tt][Oo]|[Ee][Rr][Rr][Aa][Dd][Oo])[.]?$"
-_CALL = r"([Dd][Ii][Cc][Aa]|[Ee][Xx][Ee][Mm][Pp][Ll][Oo]|[Oo][Bb][Ss][.]?|[Aa][Tt][Ee][Nn][Çç][Ãã][Oo]|[Ii][Mm][Pp][Oo][Rr][Tt][Aa][Nn][Tt][Ee])"
-CALL_INLINE = rf"^{_CALL}\s*:\s*(.+)$"
-CALL_LABEL = rf"^{_CALL}\s*:?$"
+BULLETS = "•◦▪■□◆◇‣⁃"
+DASHES = "−–—-"
+BULLET = rf"^([{BULLETS}])\s*(.*)"
+DASH = rf"^([{DASHES}])\s+(.+)"
+WORD = "0-9A-Za-z_ªºÀ-ÖØ-öø-ÿ"
+ARTICLE = r"(?i)^art[.]\s*[0-9]+[ºo°]?[.]?(\s|$)"
+LEGAL_ITEM = rf"(?i)^(§\s*[0-9]+[ºo]?|par[áÁ]grafo\s+[úÚ]nico)($|[^{WORD}])"
+ANSWER = r"(?i)^(letra\s+[a-e]|certo|errado)[.]?$"
+_CALL = r"(dica|exemplo|obs[.]?|aten[çÇ][ãÃ]o|importante)"
+CALL_INLINE = rf"(?i)^{_CALL}\s*:\s*(.+)$"
+CALL_LABEL = rf"(?i)^{_CALL}\s*:?$"
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 LOWER = "a-zà-öø-ÿ"
 TRAILING_HYPHEN = rf"[{LETTER}]\s*-\s*$"
@@ -22,7 +28,12 @@ CLOSERS = r"[\"”’)\]]+$"
 LOWER_START = rf"^[\"“‘(\[]*[{LOWER}]"
 EMBEDDED_MARKER = r"(^|\s)([•−◦▪■□◆◇‣⁃])\s+"
 EDGE_TOKEN = r"^([VFC]|[pqrPQR]|[¬~]?\s*[pqrPQR]|[pqrPQR]\s*[∧∨→↔]|[0-9]+)$"
-TABLE_CAPTION = r"(^|[^A-Za-z0-9_])[Tt][Aa][Bb][Ee][Ll][Aa]\s+[0-9]+\s*:"
+TABLE_CAPTION = r"(?i)(^|[^A-Za-z0-9_])tabela\s+[0-9]+\s*:"
+ASSERTION_TAIL = r"(?i)(^|\W)(assinale|marque|supondo que|nota-se, ent[ãÃ]o|para que o operador)(\W|$)"
 TABLE_KEYWORDS = r"[Tt]abela|[Qq]uadro"
-CAPITAL = "[A-ZÁÉÍÓÚÂÊÔÃÕÇ]"
+CAPITALS = "A-ZÁÉÍÓÚÂÊÔÃÕÇ"
+CAPITAL = f"[{CAPITALS}]"
+#: Two equal words of capitals side by side (Java only: boundary in Unicode, back reference).
+TWICE = rf"(?U)\b([{CAPITALS}]{{5,}})\s+\1\b"
+AUTHOR = rf"^[{CAPITALS} ]{{5,60}}$"
 SUBBULLETS = "◦▪■□◆◇‣⁃"

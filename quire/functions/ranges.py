@@ -127,9 +127,41 @@ def page_mark(page: Column, inline: bool = False) -> Column:
     return F.format_string(f'<span epub:type="pagebreak" class="{name}" id="page-%d" title="%d"></span>', page, page)
 
 
-def with_breaks(text: Column, breaks: Column) -> Column:
-    """Escaped text with a marker at each page break."""
+def with_breaks(text: Column, breaks: Column, colours: Column | None = None, bolds: Column | None = None, italics: Column | None = None) -> Column:
+    """Text with a marker at each page break: escaped, and styled where ranges are given."""
     ordered = F.array_sort(breaks)
     edges = F.concat(F.array(F.lit(0)), F.transform(ordered, lambda b: b["offset"]), F.array(F.char_length(text)))
-    part = lambda k: escape(F.substring(text, F.get(edges, k) + 1, F.get(edges, k + 1) - F.get(edges, k)))
+
+    def part(k: Column) -> Column:
+        start, end = F.get(edges, k), F.get(edges, k + 1)
+        cut = F.substring(text, start + 1, end - start)
+        if colours is None:
+            return escape(cut)
+        pieces = F.struct(cut.alias("t"), clip(colours, start, end, True).alias("c"), clip(bolds, start, end).alias("b"), clip(italics, start, end).alias("i"))
+        return F.element_at(F.transform(F.array(pieces), lambda p: rich_text(p["t"], p["c"], p["b"], p["i"])), 1)
+
     return F.concat(part(F.lit(0)), F.array_join(F.transform(ordered, lambda b, k: F.concat(page_mark(b["page"], True), part(k + 1))), ""))
+
+
+#: Style columns of lines and elements, and whether their ranges carry a class.
+STYLES = {"color_ranges": True, "bold_ranges": False, "italic_ranges": False}
+
+
+def from_spans(spans: Column, text: Column, css_class: Column) -> Column:
+    """Colour ranges of a line whose text is its spans joined by a space.
+
+    ``css_class`` and ``text`` are functions of a span.
+    """
+    start = F.struct(F.lit(0).alias("at"), none(True).alias("out"))
+
+    def add(state: Column, s: Column) -> Column:
+        end = (state["at"] + F.char_length(text(s))).cast("int")
+        one = F.array(F.struct(state["at"].alias("start"), end.alias("end"), css_class(s).alias("css_class")))
+        return F.struct((end + 1).alias("at"), F.when(css_class(s).isNull(), state["out"]).otherwise(F.concat(state["out"], one)).alias("out"))
+
+    return F.aggregate(spans, start, add, lambda s: s["out"])
+
+
+def normal(name: str, text: Column, ranges: Column) -> Column:
+    """Normal ranges of a style column."""
+    return normal_colours(text, ranges) if STYLES[name] else normal_styles(text, ranges)

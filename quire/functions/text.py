@@ -62,15 +62,15 @@ def join_page(left: Column, right: Column) -> Column:
 
 
 def suspicious_duplicate(text: Column) -> Column:
-    """Equal halves, a repeated run of words at the start, or a repeated long word in capitals."""
-    w = F.split(fold(ws(text)), " ")
+    """Equal halves, a repeated run of words at the start, or a long word in capitals twice; as written."""
+    plain = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    w = F.split(plain, " ")
     n = F.size(w)
     half = (n % 2 == 0) & (n >= 2) & (n <= 80) & (F.slice(w, 1, F.greatest(F.floor(n / 2).cast("int"), F.lit(1))) == F.slice(w, F.floor(n / 2).cast("int") + 1, F.greatest(n, F.lit(1))))
     most = F.least(F.lit(16), F.floor(n / 2).cast("int"))
     starts = F.when(most >= 4, F.sequence(F.lit(4), F.greatest(most, F.lit(4)))).otherwise(F.array().cast("array<int>"))
     prefix = (n <= 80) & F.exists(starts, lambda k: F.slice(w, 1, k) == F.slice(w, k + 1, k))
-    caps = F.regexp_like(ws(text), F.lit(r"(?:^|[^A-ZÀ-ÖØ-Þ])([A-ZÀ-ÖØ-Þ]{5,})\s+\1(?:$|[^A-ZÀ-ÖØ-Þ])"))
-    return half | prefix | caps
+    return half | prefix | plain.rlike(P.TWICE)
 
 
 def slug(text: Column) -> Column:

@@ -64,6 +64,28 @@ def images_outside_tables(images: DataFrame, tables: DataFrame, config: Config =
     return outside(images, tables, config.image_in_table)
 
 
+def page_regions(tables: DataFrame, images: DataFrame, pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Regions of every page: doc_id, page, ord, kind, x0, y0, x1, y1, caption.
+
+    Tables of two rows and two columns at least; images that are large enough and
+    outside of them, numbered from 1000; the image regions of the settings, numbered
+    from 5000, on the ``pages`` (doc_id, page) they name.  Nearly equal ones once.
+    """
+    side = [F.col(c).cast("double").alias(c) for c in geometry.SIDES]
+    kept = accepted_tables(tables)
+    seen = images_outside_tables(large_images(images, config), kept, config)
+    caption = F.col("caption") if "caption" in images.columns else F.lit(None).cast("string")
+    out = kept.select(*PAGE, F.col("ord").cast("int").alias("ord"), F.lit("table").alias("kind"), *side, F.lit(None).cast("string").alias("caption"))
+    shown = seen.select(*PAGE, (F.col("ord") + 1000).cast("int").alias("ord"), F.lit("image").alias("kind"), *side, caption.alias("caption"))
+    if config.image_regions:
+        one = lambda k, box, text: F.struct(F.lit(5000 + k).alias("ord"), *[F.lit(float(v)).alias(c) for c, v in zip(geometry.SIDES, box)], F.lit(text).alias("caption"))
+        for page in {p for p, *_ in config.image_regions}:
+            extra = F.array(*[one(k, box, text) for k, (p, box, text) in enumerate(config.image_regions) if p == page])
+            added = pages.filter(F.col("page") == page).select(*PAGE).distinct().select(*PAGE, F.explode(extra).alias("r"))
+            shown = shown.unionByName(added.select(*PAGE, "r.ord", F.lit("image").alias("kind"), *[f"r.{c}" for c in geometry.SIDES], "r.caption"))
+    return out.unionByName(distinct_regions(shown, config).select(out.columns))
+
+
 def distinct_regions(regions: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Regions by (y, x); one that nearly equals a kept region goes."""
     fields = [c for c in regions.columns if c not in PAGE]

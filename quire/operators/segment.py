@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quire.config import DEFAULT, Config
 from quire.functions import patterns as P
-from quire.functions.text import join_lines, join_two
+from quire.functions import ranges as R
+from quire.functions.text import join_lines, join_two, ws
 from quire.operators import lines as L
 
 PAGE = ["doc_id", "page"]
@@ -25,15 +26,16 @@ REGIONS = ("image", "table")
 
 def kinds(lines: DataFrame) -> DataFrame:
     """Adds kind, marker and rest of the ordered marker rules; null kind: no marker."""
-    t, kind = F.col("text"), F.col("kind")
+    t, kind, first = F.col("text"), F.col("kind"), F.left("text", F.lit(1))
     rules = {
-        "question": P.QUESTION, "alternative": P.ALTERNATIVE, "roman": P.ROMAN, "bullet": P.BULLET, "dash": P.DASH, "legal": P.ARTICLE, "legal-item": P.LEGAL_ITEM,
-        "answer": P.ANSWER, "call-inline": P.CALL_INLINE, "call-label": P.CALL_LABEL,
+        "question": ("0123456789", P.QUESTION), "alternative": ("abcdeABCDE", P.ALTERNATIVE), "roman": ("IVXLCDM", P.ROMAN), "bullet": (P.BULLETS, P.BULLET), "dash": (P.DASHES, P.DASH),
+        "legal": ("aA", P.ARTICLE), "legal-item": ("§pP", P.LEGAL_ITEM), "answer": ("lLcCeE", P.ANSWER), "call-inline": ("dDeEoOaAiI", P.CALL_INLINE), "call-label": ("dDeEoOaAiI", P.CALL_LABEL),
     }
+    # Most lines fail on their first character, before any pattern is tried.
     named = F
-    for name, pattern in rules.items():
-        named = named.when(t.rlike(pattern), name)
-    group = lambda name, k: F.regexp_extract(t, rules[name], k)
+    for name, (starts, pattern) in rules.items():
+        named = named.when(first.isin(*starts) & t.rlike(pattern), name)
+    group = lambda name, k: F.regexp_extract(t, rules[name][1], k)
     marker = (
         F.when(kind == "question", F.concat(group("question", 1), F.lit(".")))
         .when(kind == "alternative", F.concat(F.lower(group("alternative", 1)), F.lit(")")))
@@ -70,7 +72,12 @@ def headings(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def caps_pairs(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Join a heading in capitals that is set on two lines; pairs only, from the top."""
+    """Join a heading in capitals that is set on two lines; pairs only, from the top.
+
+    Other columns are those of the first line.
+    """
+    own = ("doc_id", "page", "ord", "text", "x0", "y0", "x1", "y1", "size", "bold_ratio")
+    rest = [F.min_by(c, F.struct("y0", "x0", "ord")).alias(c) for c in lines.columns if c not in own]
     order = Window.partitionBy(*PAGE).orderBy("y0", "x0", "ord")
     before = lambda c: F.lag(c).over(order)
     caps = capitals(F.col("text"))
@@ -84,7 +91,7 @@ def caps_pairs(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("y0", "x0", "ord", "text")))
     return dealt.groupBy(*PAGE, "island_", "pair_").agg(
         F.min("ord").alias("ord"), F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        F.max("size").alias("size"), F.max("bold_ratio").alias("bold_ratio"), F.min_by("font", "ord").alias("font"), F.min_by("color", "ord").alias("color"),
+        F.max("size").alias("size"), F.max("bold_ratio").alias("bold_ratio"), *rest,
     ).drop("island_", "pair_")
 
 
@@ -113,11 +120,13 @@ def paragraph_islands(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def units(lines: DataFrame, regions: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
-    """Units of every page: doc_id, page, unit, kind, level, marker, text, x0, y0, n_lines.
+    """Units of every page: doc_id, page, unit, kind, level, marker, text, x0, y0, n_lines, region.
 
-    ``lines`` may carry ``box`` (see regions.boxed).  Regions become units of
-    their kind with an empty text.  Labels without content vanish.
+    ``lines`` may carry ``box`` (see regions.boxed) and ranges of styles, which are
+    found again in the joined text.  Regions become units of their kind with an
+    empty text and the region's number.  Labels without content vanish.
     """
+    styles = [c for c in R.STYLES if c in lines.columns]
     base = lines if "box" in lines.columns else lines.withColumn("box", F.lit(None).cast("int"))
     known = kinds(_sized(base, config)).withColumn("level", heading_level(config)).withColumn("is_line", F.lit(1))
     if regions is not None:
@@ -159,20 +168,33 @@ def units(lines: DataFrame, regions: DataFrame | None = None, config: Config = D
     mark = F.when(F.col("hard") & (F.col("shape") == "starter"), F.when(F.col("kind") == "call-label", F.col("rest")).otherwise(F.col("marker")))
     s = s.withColumns({"body": F.coalesce(body, F.lit("")), "mark": mark})
     at = F.struct("y0", "is_line", "ord")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("y0", "is_line", "ord", "body"))), lambda p: p["body"])
+    # What a marker leaves is the end of its line: ranges count from there.
+    lead = F.when(F.endswith("text", F.col("body")), F.char_length("text") - F.char_length("body")).otherwise(F.char_length("text"))
+    s = s.withColumns({c: F.coalesce(R.clip(F.col(c), lead, F.char_length("text"), R.STYLES[c]), R.none(R.STYLES[c])) for c in styles})
+    ordered = F.array_sort(F.collect_list(F.struct("y0", "is_line", "ord", "body", *styles)))
+    parts = F.transform(ordered, lambda p: p["body"])
+    region = F.min_by("ord", at).alias("region") if regions is not None else F.lit(None).cast("int").alias("region")
     out = s.groupBy(*PAGE, "unit").agg(
         F.min_by("unit_kind", at).alias("kind"), F.coalesce(F.max(F.when(F.col("shape") == "heading", F.col("level"))), F.lit(0)).alias("level"), F.coalesce(F.min_by("mark", at), F.lit("")).alias("marker"),
         join_lines(parts).alias("text"), F.min_by("x0", at).alias("x0"), F.min("y0").alias("y0"), F.min_by("page_left", at).alias("page_left"), F.count(F.lit(1)).alias("n_lines"),
+        region, *([ordered.alias("parts_")] if styles else []),
     )
-    return out.filter((F.col("text") != "") | F.col("kind").isin(*REGIONS))
+    out = out.withColumn("region", F.when(F.col("kind").isin(*REGIONS), F.col("region")))
+    for c in styles:
+        rows = F.transform("parts_", lambda p: F.struct(ws(p["body"]).alias("text"), p[c].alias("ranges")))  # noqa: B023
+        out = out.withColumn(c, R.project(F.col("text"), rows, R.STYLES[c])["ranges"]).withColumn(c, R.normal(c, F.col("text"), F.col(c)))
+    return out.drop("parts_").filter((F.col("text") != "") | F.col("kind").isin(*REGIONS))
 
 
 def merged_in_page(units_: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Join units of one page that a false break has parted; adds ``n_units``.
 
     A paragraph continues an unfinished unit if it starts in lower case, or hangs
-    right of the list item at the head of an unbroken chain.
+    right of the list item at the head of an unbroken chain.  Joined units lose
+    their ranges of styles.
     """
+    styles = [c for c in R.STYLES if c in units_.columns]
+    extra = [c for c in ("region",) if c in units_.columns]
     order = Window.partitionBy(*PAGE).orderBy("unit")
     is_p = F.col("kind") == "p"
     s = units_.withColumns({"open": ~F.lag("text").over(order).rlike(P.TERMINAL) & (F.lag("text").over(order) != ""), "low": F.col("text").rlike(f"^[{P.LOWER}]"), "run": F.sum((~is_p).cast("int")).over(order)})
@@ -188,15 +210,20 @@ def merged_in_page(units_: DataFrame, config: Config = DEFAULT) -> DataFrame:
     s = s.withColumn("element", F.sum((~F.col("link")).cast("int")).over(order))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("unit", "text"))), lambda p: p["text"])
     first = lambda c: F.min_by(c, "unit").alias(c)
-    return s.groupBy(*PAGE, "element").agg(first("kind"), first("level"), first("marker"), join_lines(parts).alias("text"), first("x0"), first("y0"), first("page_left"), F.count(F.lit(1)).alias("n_units"))
+    own = [F.when(F.count(F.lit(1)) == 1, F.min_by(c, "unit")).otherwise(R.none(R.STYLES[c])).alias(c) for c in styles]
+    return s.groupBy(*PAGE, "element").agg(
+        first("kind"), first("level"), first("marker"), join_lines(parts).alias("text"), first("x0"), first("y0"), first("page_left"), F.count(F.lit(1)).alias("n_units"), *[first(c) for c in extra], *own
+    )
 
 
 def merged_across_pages(elements: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Join the first paragraph of a page to the unit that the page before left open.
 
-    Adds seq (reading order) and page_breaks (offset, page), keeping offsets in
-    the joined text.
+    Adds seq (reading order) and page_breaks (offset, page), keeping offsets and
+    ranges of styles in the joined text.
     """
+    styles = [c for c in R.STYLES if c in elements.columns]
+    extra = [c for c in ("region",) if c in elements.columns]
     order = Window.partitionBy("doc_id").orderBy("page", "element")
     before = lambda c: F.lag(c).over(order)
     p_here = Window.partitionBy(*PAGE)
@@ -225,16 +252,20 @@ def merged_across_pages(elements: DataFrame, config: Config = DEFAULT) -> DataFr
     s = s.withColumn("cut", F.coalesce(F.max(fail).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     s = s.withColumn("link", F.when(F.col("cut") == 0, F.col("link_head")).otherwise(F.col("link_p")))
     s = s.withColumn("seq", F.sum((~F.col("link")).cast("int")).over(order))
-    rows = F.array_sort(F.collect_list(F.struct("page", "element", "text")))
-    empty = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<offset:int,page:int>>").alias("page_breaks"))
+    rows = F.array_sort(F.collect_list(F.struct("page", "element", "text", *styles)))
+    empty = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<offset:int,page:int>>").alias("page_breaks"), *[R.none(R.STYLES[c]).alias(c) for c in styles])
 
     def add(state: Column, r: Column) -> Column:
         text = join_two(state["text"], r["text"])
         at = (F.char_length(text) - F.char_length(r["text"])).cast("int")
         more = F.concat(state["page_breaks"], F.array(F.struct(at.alias("offset"), r["page"].cast("int").alias("page"))))
-        return F.when(state["text"] == "", F.struct(r["text"].alias("text"), state["page_breaks"].alias("page_breaks"))).otherwise(F.struct(text.alias("text"), more.alias("page_breaks")))
+        # A space parts two words; where a hyphen closed up, the left part is cut at the boundary.
+        limit = F.when(F.substring(text, at, 1) == " ", F.least(at - 1, F.char_length(state["text"]))).otherwise(at)
+        kept = [F.when(state["text"] == "", r[c]).otherwise(R.merged(state[c], r[c], limit, at, R.STYLES[c])).alias(c) for c in styles]
+        alone = state["text"] == ""
+        return F.struct(F.when(alone, r["text"]).otherwise(text).alias("text"), F.when(alone, state["page_breaks"]).otherwise(more).alias("page_breaks"), *kept)
 
     at = F.struct("page", "element")
     head = lambda c: F.min_by(c, at).alias(c)
-    out = s.groupBy("doc_id", "seq").agg(head("kind"), head("level"), head("marker"), F.min("page").alias("page"), head("x0"), rows.alias("rows"))
-    return out.withColumn("j", F.aggregate("rows", empty, add)).select("doc_id", "seq", "page", "kind", "level", "marker", "x0", "j.text", "j.page_breaks")
+    out = s.groupBy("doc_id", "seq").agg(head("kind"), head("level"), head("marker"), F.min("page").alias("page"), head("x0"), rows.alias("rows"), *[head(c) for c in extra])
+    return out.withColumn("j", F.aggregate("rows", empty, add)).select("doc_id", "seq", "page", "kind", "level", "marker", "x0", "j.text", "j.page_breaks", *extra, *[f"j.{c}" for c in styles])

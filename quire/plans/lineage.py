@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a reliable checkpoint: computed once, re-read by every plan on top.
 
-    Uses the shared folder of ``spark.checkpoint.dir``; a session without one
-    (tests) gets a temporary folder of its own.
+    Uses the shared folder of ``spark.checkpoint.dir``; a local session without one
+    (tests) gets a temporary folder of its own, a cluster is refused.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-"))
     return df.checkpoint()

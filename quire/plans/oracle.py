@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quire.functions import patterns as P
+from quire.operators.epub import RULES
 
 WS = r"trim(regexp_replace({0}, '[ \t\r\f\v]+', ' ', 'g'))"
 
@@ -138,6 +139,21 @@ ids AS (SELECT *, CASE WHEN {SLUG.format('text')} = '' THEN 'secao' ELSE {SLUG.f
 heading_ids AS (SELECT doc_id, seq, section, level, text, CASE WHEN row_number() OVER w = 1 THEN base ELSE base || '-' || row_number() OVER w END AS id FROM ids WINDOW w AS (PARTITION BY doc_id, section_no, base ORDER BY seq))"""
 
 
+END = f"(^|[^{P.WORD}])([{P.CAPITALS}]{{5,}})$"
+
+
+TITLE = "CASE WHEN {0} = upper({0}) AND {0} <> lower({0}) AND NOT regexp_matches({0}, '[ªº]') THEN array_to_string(list_transform(string_split(lower({0}), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') ELSE {0} END"
+ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_PIECES = [(0, 3, "cb", "red"), (3, 6, "cib", "red"), (6, 7, "cib", "red"), (7, 9, "cb", "red"), (9, 10, ""), (10, 12, "c", "green"), (12, 14, "cb", "green"), (14, 16, "b")]
+
+
+def _piece(a: int, z: int, marks: str, css_class: str = "") -> str:
+    """SQL of a piece of text within its marks: colour inside italic inside bold."""
+    opened = {"c": f'<span class="{css_class}">', "i": '<em class="pdf-italic">', "b": '<strong class="pdf-bold">'}
+    closed = {"c": "</span>", "i": "</em>", "b": "</strong>"}
+    return f"'{''.join(opened[m] for m in reversed(marks))}' || {ESC.format(f'substr(text, {a + 1}, {z - a})')} || '{''.join(closed[m] for m in marks)}'"
+
+
 def _q(ctes: str, select: str) -> str:
     return f"WITH {ctes} {select}"
 
@@ -219,11 +235,11 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "suspicious_duplicates": _q(
         LINES,
-        """, t AS (SELECT doc_id, page, ord, CASE WHEN (doc_id + ord) % 9 = 0 THEN text || ' ' || text ELSE text END AS text FROM lines WHERE ord > 0),
-        w AS (SELECT *, string_split(replace(lower(text), 'ß', 'ss'), ' ') AS w, string_split(text, ' ') AS c FROM t)
+        f""", t AS (SELECT doc_id, page, ord, CASE WHEN (doc_id + ord) % 9 = 0 THEN text || ' ' || text ELSE text END AS text FROM lines WHERE ord > 0),
+        w AS (SELECT *, string_split(text, ' ') AS w, string_split(text, ' ') AS c FROM t)
         SELECT doc_id, page, ord FROM w WHERE (len(w) % 2 = 0 AND len(w) BETWEEN 2 AND 80 AND w[1:len(w)//2] = w[len(w)//2+1:])
           OR (len(w) BETWEEN 8 AND 80 AND len(list_filter(range(4, least(16, len(w)//2) + 1), lambda k: w[1:k] = w[k+1:2*k])) > 0)
-          OR len(list_filter(range(1, len(c)), lambda i: regexp_matches(c[i], '(^|[^A-ZÀ-ÖØ-Þ])[A-ZÀ-ÖØ-Þ]{5,}$') AND starts_with(c[i+1], regexp_extract(c[i], '([A-ZÀ-ÖØ-Þ]{5,})$', 1)) AND NOT regexp_matches(substr(c[i+1], length(regexp_extract(c[i], '([A-ZÀ-ÖØ-Þ]{5,})$', 1)) + 1), '^[A-ZÀ-ÖØ-Þ]'))) > 0""",
+          OR len(list_filter(range(1, len(c)), lambda i: regexp_matches(c[i], '{END}') AND starts_with(c[i+1], regexp_extract(c[i], '{END}', 2)) AND NOT regexp_matches(substr(c[i+1], length(regexp_extract(c[i], '{END}', 2)) + 1), '^[{P.WORD}]'))) > 0""",
     ),
     "marker_histogram": _q(TO_READING, "SELECT CASE WHEN marker <> '' THEN marker WHEN kind = 'dash' THEN '−' ELSE '•' END AS marker, count(*) AS n FROM reading WHERE kind IN ('bullet','dash') GROUP BY 1"),
     "qa_warnings": _q(
@@ -234,7 +250,7 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT doc_id, np::INT, 'unresolved-cross-page-continuation', left(nt, 200) FROM y WHERE kind IN {_CROSSING} AND nk = 'p' AND np = last + 1 AND text <> '' AND open_ AND regexp_matches(nt, '{P.LOWER_START}')
         UNION ALL SELECT doc_id, page::INT, 'list-fragment', left(nt, 160) FROM y WHERE listed AND nk = 'p' AND page = np AND text <> '' AND NOT regexp_matches(text, '{P.TERMINAL}') AND regexp_matches(nt, '^[{P.LOWER}“"]')
         UNION ALL SELECT doc_id, page::INT, 'caption-swallowed-by-list', right(text, 220) FROM y WHERE listed AND regexp_matches(text, '{P.TABLE_CAPTION}')
-        UNION ALL SELECT doc_id, page::INT, 'assertion-swallowed-tail', left(text, 220) FROM y WHERE kind = 'roman' AND regexp_matches(text, '(?i)(^|\\W)(assinale|marque|supondo que|para que o operador)(\\W|$)')
+        UNION ALL SELECT doc_id, page::INT, 'assertion-swallowed-tail', left(text, 220) FROM y WHERE kind = 'roman' AND regexp_matches(text, '{P.ASSERTION_TAIL}')
         UNION ALL SELECT doc_id, page::INT, 'empty-table-cell', 'row ' || (r - 1) || ' col ' || (c - 1) FROM tables_, range(1, 4) a(r), range(1, 4) b(c) WHERE coalesce(trim(rows[r][c]), '') = '' AND NOT (r = 1 AND c = 1)""",
     ),
     "sections": _q(f"{TO_READING}, {SECTIONS}", "SELECT doc_id, section, count(*) AS n_elements, min(seq) AS first_seq FROM sectioned GROUP BY doc_id, section_no, section"),
@@ -250,6 +266,56 @@ ORACLE_SQL: dict[str, str] = {
         f"{TO_READING}",
         ", n AS (SELECT doc_id, count(*) AS n_lines, max(page) AS n_pages FROM lines GROUP BY doc_id), e AS (SELECT doc_id, count(*) AS n_elements, sum((kind = 'question')::INT)::BIGINT AS n_questions, sum((kind = 'heading')::INT)::BIGINT AS n_headings, sum(breaks)::BIGINT AS n_merges FROM reading GROUP BY doc_id) SELECT n.doc_id, n_lines, n_pages, n_elements, n_questions, n_headings, n_merges FROM n JOIN e USING (doc_id)",
     ),
+    "line_overlay_dedup": _q(LINES, "SELECT doc_id, page, ord, text, color FROM lines"),
+    "caps_pairs": _q(
+        LINES,
+        f""", b AS (SELECT doc_id, page, ord, upper(replace(text, 'ß', 'ss')) AS text, x0, ord * 14.0 AS y0, ord * 14.0 + 12.0 AS y1 FROM lines WHERE ord > 0),
+        c AS (SELECT *, {CAPS.format('text')} AS caps FROM b),
+        d AS (SELECT *, coalesce(caps AND lag(caps) OVER o AND abs(x0 - lag(x0) OVER o) <= 24 AND y0 - lag(y1) OVER o BETWEEN -1 AND 4 AND length(text) + length(lag(text) OVER o) < 150, false) AS link FROM c WINDOW o AS (PARTITION BY doc_id, page ORDER BY y0, x0, ord)),
+        e AS (SELECT *, sum((NOT link)::INT) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, ord) AS island FROM d),
+        f AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, page, island ORDER BY y0, x0, ord) - 1) // 2 AS pair FROM e)
+        SELECT doc_id, page, min(ord) AS ord, string_agg(text, ' ' ORDER BY y0, x0, ord) AS text FROM f GROUP BY doc_id, page, island, pair""",
+    ),
+    "metadata": _q(
+        f"{LINES}, {KEYS}",
+        f""", cover AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY y0, ord) AS nth FROM keyed k WHERE page = 1 AND length(text) BETWEEN 3 AND 99 AND NOT regexp_matches(text, '{P.QUESTION}') AND NOT EXISTS (SELECT 1 FROM keys x WHERE x.doc_id = k.doc_id AND x.key = k.key)),
+        top AS (SELECT doc_id, max(CASE WHEN nth = 1 THEN text END) AS area, arg_min(text, nth) FILTER (WHERE nth > 1 AND lower(text) <> 'livro eletrônico') AS title FROM cover GROUP BY doc_id),
+        by_ AS (SELECT DISTINCT doc_id, 'Maria Das Dores' AS author FROM lines WHERE page = 2 AND doc_id % 2 = 0)
+        SELECT d.doc_id, coalesce({TITLE.format('area')}, '') AS area, coalesce({TITLE.format('title')}, '') AS title, coalesce(author, '') AS author FROM (SELECT DISTINCT doc_id FROM lines) d LEFT JOIN top USING (doc_id) LEFT JOIN by_ USING (doc_id)""",
+    ),
+    "ranges_normalized": _q(
+        TO_READING,
+        """SELECT doc_id, seq, '[{"start":0,"end":9},{"start":12,"end":16}]' AS bold, '[{"start":0,"end":6,"css_class":"red"},{"start":6,"end":9,"css_class":"red"},{"start":10,"end":14,"css_class":"green"}'
+          || CASE WHEN length(text) >= 400 THEN ',{"start":20,"end":400,"css_class":"green"}' ELSE '' END || ']' AS colour FROM reading WHERE length(text) > 30""",
+    ),
+    "rich_text": _q(
+        TO_READING,
+        f"""SELECT doc_id, seq, {''.join(_piece(*p) + ' || ' for p in _PIECES)} CASE WHEN length(text) >= 400 THEN {_piece(16, 20, '')} || {_piece(20, 400, 'c', 'green')} || {ESC.format('substr(text, 401)')} ELSE {ESC.format('substr(text, 17)')} END AS html
+        FROM reading WHERE length(text) > 30""",
+    ),
+    "xhtml_rules": "SELECT unnest([" + ", ".join(f"'{r}'" for r in RULES) + "]) AS rule, 0::BIGINT AS n",
+    "epub_verdicts": "SELECT doc_id, 0::BIGINT AS n_errors, 'partial' AS status FROM documents",
+    "page_regions": _q(
+        f"{LINES}, {REGIONS}, {TABLES}",
+        """SELECT doc_id, page, ord, 'table' AS kind, x0, y0, x1, y1, NULL::VARCHAR AS caption FROM tables_
+        UNION ALL SELECT doc_id, page, ord + 1000, kind, x0, y0, x1, y1, NULL FROM regions a WHERE kind = 'image' AND ord = 2
+        UNION ALL SELECT doc_id, page, 5000, 'image', 60.0, 400.0, 500.0, 600.0, 'Esquema' FROM pages_ WHERE page = 2""",
+    ),
+    "baseline_fonts": _q(f"{LINES}, {SPANS}", "SELECT doc_id, arg_min(font, struct_pack(n := -n, f := font)) AS font FROM (SELECT doc_id, font, sum(length(text)) AS n FROM spans WHERE ord % 2 = 0 GROUP BY ALL) GROUP BY doc_id"),
+    "audit_counters": _q(
+        f"{TO_READING}, {TABLES}, {KEYS}",
+        """, f AS (SELECT doc_id, page, ord, list_transform(flatten(rows), lambda c: nullif(trim(c), '')) AS cells FROM tables_),
+        d AS (SELECT a.doc_id, a.page, a.ord, arg_min(b.cells, b.page) AS donor FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.page <> b.page
+          WHERE len(list_filter(range(1, 10), lambda i: a.cells[i] <> b.cells[i])) = 0 AND len(list_filter(range(1, 10), lambda i: a.cells[i] = b.cells[i])) > 0 AND len(list_filter(range(1, 10), lambda i: a.cells[i] IS NULL AND b.cells[i] IS NOT NULL)) > 0 GROUP BY ALL),
+        every AS (SELECT doc_id, unnest(['duplicate_spans_removed', 'repeated_furniture_removed', 'regex_furniture_removed', 'images_rendered', 'tables_detected', 'table_cells_repaired', 'question_box_line_exclusions_applied']) AS metric, 0 AS value FROM documents
+        UNION ALL SELECT k.doc_id, 'repeated_furniture_removed', 1 FROM keyed k JOIN keys x ON x.doc_id = k.doc_id AND x.key = k.key
+        UNION ALL SELECT doc_id, CASE kind WHEN 'table' THEN 'tables_detected' ELSE 'images_rendered' END, 1 FROM regions
+        UNION ALL SELECT doc_id, 'table_cells_repaired', len(list_filter(range(1, 10), lambda i: cells[i] IS NULL AND donor[i] IS NOT NULL)) FROM f JOIN d USING (doc_id, page, ord)
+        UNION ALL SELECT doc_id, 'semantic_continuations_merged', n_units - 1 FROM elements
+        UNION ALL SELECT doc_id, 'cross_page_continuations_merged', breaks FROM reading
+        UNION ALL SELECT doc_id, 'list_marker:' || CASE WHEN marker <> '' THEN marker WHEN kind = 'dash' THEN '−' ELSE '•' END, 1 FROM reading WHERE kind IN ('bullet','dash'))
+        SELECT doc_id, metric, sum(value)::BIGINT AS value FROM every GROUP BY ALL""",
+    ),
     "table_html": _q(
         f"{LINES}, {REGIONS}, {TABLES}",
         """SELECT doc_id, page, ord, '<table><tr><th></th><th>Total</th><th>Nota</th></tr><tr><td>A</td><td>' || coalesce(rows[2][2], '') || '</td><td>10</td></tr><tr><td>B</td><td>x &lt; y</td><td>' || rows[3][3] || '</td></tr></table>' AS html FROM tables_""",

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.config import Config
 from quire.functions import ranges as R
 from quire.functions.colour import colour_class
 from quire.functions.text import join_lines
-from quire.operators import epub, lines as L, regions as G, render, sections as S, segment
+from quire.operators import audit as A, epub, lines as L, regions as G, render, sections as S, segment
 from quire.plans.lineage import cut
 from quire.sources import layout
 
@@ -54,9 +55,9 @@ def paragraph_islands(spark, sf_dir):
     return segment.paragraph_islands(_lines(spark, sf_dir))
 
 
-def _units(spark, sf_dir):
+def _units(spark, sf_dir, lines=None):
     docs = _docs(spark, sf_dir)
-    lines = layout.lines(docs)
+    lines = cut(layout.lines(docs)) if lines is None else lines
     boxes = G.question_boxes(layout.drawings(docs), lines)
     regions = layout.regions(docs)
     return segment.units(G.outside_regions(G.boxed(lines, boxes), regions), regions)
@@ -70,8 +71,8 @@ def continuation_merge(spark, sf_dir):
     return segment.merged_in_page(_units(spark, sf_dir)).select("doc_id", "page", "element", "kind", "marker", "text", "n_units")
 
 
-def _reading(spark, sf_dir):
-    return segment.merged_across_pages(segment.merged_in_page(_units(spark, sf_dir)))
+def _reading(spark, sf_dir, lines=None):
+    return segment.merged_across_pages(segment.merged_in_page(_units(spark, sf_dir, lines)))
 
 
 def cross_page_merge(spark, sf_dir):
@@ -233,8 +234,9 @@ def list_groups(spark, sf_dir):
 
 def document_profile(spark, sf_dir):
     """Flagship: what each document consists of once its structure is rebuilt."""
-    per = _lines(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.max("page").alias("n_pages"))
-    el = _reading(spark, sf_dir).groupBy("doc_id").agg(
+    lines = cut(_lines(spark, sf_dir))
+    per = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.max("page").alias("n_pages"))
+    el = _reading(spark, sf_dir, lines).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_elements"), F.count_if(F.col("kind") == "question").alias("n_questions"), F.count_if(F.col("kind") == "heading").alias("n_headings"), F.sum(F.size("page_breaks")).cast("long").alias("n_merges")
     )
     return per.join(el, "doc_id").select("doc_id", "n_lines", "n_pages", "n_elements", "n_questions", "n_headings", "n_merges")
@@ -249,8 +251,41 @@ def table_html(spark, sf_dir):
 
 
 def metadata(spark, sf_dir):
+    """Every second document names an author at the head of page 2."""
     lines = _lines(spark, sf_dir)
-    return S.metadata(lines, G.furniture_keys(lines))
+    name = F.when(F.col("doc_id") % 2 == 0, "MARIA DAS DORES").otherwise("CÓDIGO DO CURSO")
+    named = lines.withColumn("text", F.when((F.col("page") == 2) & (F.col("ord") == 0), name).otherwise(F.col("text")))
+    return S.metadata(named, G.furniture_keys(lines))
+
+
+def page_regions(spark, sf_dir):
+    """Tables and images of every page, with a region that the settings add to page 2."""
+    docs = _docs(spark, sf_dir)
+    tables = layout.tables(docs)
+    thin = tables.withColumns({"ord": F.col("ord") + 10, "rows": F.slice("rows", 1, 1)})
+    seen = layout.regions(docs).filter("kind = 'image'").drop("kind")
+    small = seen.withColumns({"ord": F.col("ord") + 20, "x1": F.col("x0") + 30.0})
+    inside = tables.select("doc_id", "page", (F.col("ord") + 30).alias("ord"), F.lit(130.0).alias("x0"), (F.col("y0") + 2.0).alias("y0"), F.lit(390.0).alias("x1"), (F.col("y1") - 2.0).alias("y1"))
+    config = Config(image_regions=((2, (60.0, 400.0, 500.0, 600.0), "Esquema"),))
+    return G.page_regions(tables.unionByName(thin), seen.unionByName(small).unionByName(inside), layout._pages(docs), config)
+
+
+def baseline_fonts(spark, sf_dir):
+    return L.baseline_font(L.font_counts(layout.chars(_docs(spark, sf_dir)), 1))
+
+
+def audit_counters(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    lines, regions = cut(layout.lines(docs)), layout.regions(docs)
+    in_page = cut(segment.merged_in_page(_units(spark, sf_dir, lines)))
+    parts = [A.of_lines(lines, G.furniture_keys(lines)), A.of_regions(regions), A.of_tables(layout.tables(docs)), A.of_elements(in_page, segment.merged_across_pages(in_page))]
+    return A.whole(docs, *parts)
+
+
+def colour_ranges(spark, sf_dir):
+    """Ranges of colours on lines, from their spans."""
+    got = L.from_spans(layout.spans(_docs(spark, sf_dir)), styles=True)
+    return got.select("doc_id", "page", "ord", F.to_json("color_ranges").alias("ranges"))
 
 
 def caps_pairs(spark, sf_dir):
@@ -262,14 +297,17 @@ def caps_pairs(spark, sf_dir):
 
 def _packages(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    sectioned = S.sections(cut(_reading(spark, sf_dir)))
-    lines = layout.lines(docs)
-    return cut(epub.packages(render.documents(sectioned), S.contents(sectioned), S.page_list(sectioned), S.metadata(lines, G.furniture_keys(lines))))
+    lines = cut(layout.lines(docs))
+    sectioned = S.sections(cut(_reading(spark, sf_dir, lines)))
+    tables = layout.tables(docs)
+    return cut(epub.packages(render.documents(sectioned, tables=tables), S.contents(sectioned), S.page_list(sectioned), S.metadata(lines, G.furniture_keys(lines))))
 
 
 def xhtml_rules(spark, sf_dir):
-    found = epub.findings(epub.entries(_packages(spark, sf_dir)))
-    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    """How often each rule is broken by the engine's own packages: never."""
+    found = epub.findings(epub.entries(_packages(spark, sf_dir))).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    every = spark.createDataFrame([(r,) for r in epub.RULES], "rule string")
+    return every.join(found, "rule", "full").select("rule", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def epub_verdicts(spark, sf_dir):
@@ -282,6 +320,6 @@ QUERIES: dict[str, Query] = {
         document_profile, furniture_keys, lines_without_furniture, body_size, page_left, line_kinds, heading_levels, paragraph_islands, segmented_units, continuation_merge, cross_page_merge,
         color_classes, span_dedup, line_from_spans, span_overlays, line_overlay_dedup, char_runs, style_run_join, font_profile, lines_outside_regions, distinct_regions, question_boxes, boxed_lines,
         table_edge_audit, table_cell_repair, number_overlay_antijoin, join_lines_text, suspicious_duplicates, ranges_normalized, ranges_projected, rich_text, marker_histogram, qa_warnings, sections,
-        heading_ids, toc, list_groups, audit_metrics, table_html, metadata, caps_pairs, xhtml_rules, epub_verdicts,
+        heading_ids, toc, list_groups, audit_metrics, table_html, metadata, caps_pairs, xhtml_rules, epub_verdicts, page_regions, baseline_fonts, audit_counters, colour_ranges,
     )
 }

@@ -70,10 +70,14 @@ def overrides(path: str | None, base: Config = DEFAULT) -> Config:
     with fs.open_input_file(name) as f:
         found = json.loads(f.read())
     known = {x.name for x in fields(Config)}
+    texts = {k: found[k] for k in ("title", "area", "author") if found.get(k)}
+    images = [(int(r["page"]), tuple(float(v) for v in r["bbox"]), r.get("caption", "")) for r in found.get("image_regions", [])]
     out = replace(base, **{k: v for k, v in found.get("config", {}).items() if k in known})
     union = lambda a, b: tuple(dict.fromkeys([*a, *b]))
     return replace(
         out,
+        **texts,
+        image_regions=union(out.image_regions, images),
         drop_patterns=union(out.drop_patterns, found.get("drop_patterns", [])),
         table_pages=union(out.table_pages, found.get("table_pages", [])),
         skip_pages=union(out.skip_pages, found.get("skip_pages", [])),

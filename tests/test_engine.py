@@ -8,12 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import colour, geometry, ranges, text
-from quire.operators import epub, lines, regions, segment
+from quire.operators import epub, lines, regions, render, sections, segment
 from quire.plans.oracle import ORACLE_SQL
 from quire.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["furniture_keys", "body_size", "page_left", "line_kinds", "heading_levels", "color_classes", "boxed_lines", "table_cell_repair", "number_overlay_antijoin", "join_lines_text", "suspicious_duplicates", "document_profile", "toc"]
+CHECKED = ["furniture_keys", "body_size", "page_left", "line_kinds", "heading_levels", "color_classes", "boxed_lines", "table_cell_repair", "number_overlay_antijoin", "join_lines_text", "suspicious_duplicates", "document_profile", "toc", "line_overlay_dedup", "caps_pairs", "metadata", "rich_text", "ranges_normalized", "page_regions", "audit_counters", "xhtml_rules", "line_from_spans"]
 
 
 def one(spark, value, expr):
@@ -93,6 +93,77 @@ def test_short_document_header_is_furniture(spark):
     assert [r["key"] for r in regions.furniture_keys(_lines(spark, rows)).collect()] == ["cabeçalho"]
 
 
+def test_rules_as_written(spark):
+    assert one(spark, "Texto APRESENTAÇÃO APRESENTAÇÃO fim de linha", text.suspicious_duplicate) is True
+    assert one(spark, "governo Governo", text.suspicious_duplicate) is False
+    texts = ["§ 1abc", "§ 1º Texto", "Parágrafo ÚNICO. Texto", "paragrafo unico", "ART. 5º Texto", "ATENÇÃO: veja", "atenção"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "ord int, text string")
+    got = {r["ord"]: r["kind"] for r in segment.kinds(df).collect()}
+    assert [got[k] for k in range(7)] == [None, "legal-item", "legal-item", None, "legal", "call-inline", "call-label"]
+
+
+def test_styles_follow_the_text_into_the_book(spark):
+    rows = [("001. Texto forte e", 48.0, 60.0, 200.0, 72.0, 12.0, 0.0, "B", 0), ("mais cor aqui", 48.0, 74.0, 200.0, 86.0, 12.0, 0.0, "B", 0)]
+    styled = _lines(spark, rows).withColumns(
+        {
+            "color_ranges": F.when(F.col("ord") == 1, F.array(F.struct(F.lit(5).alias("start"), F.lit(8).alias("end"), F.lit("red").alias("css_class")))).otherwise(ranges.none(True)),
+            "bold_ranges": F.when(F.col("ord") == 0, F.array(F.struct(F.lit(11).alias("start"), F.lit(16).alias("end")))).otherwise(ranges.none()),
+            "italic_ranges": ranges.none(),
+        }
+    )
+    read = segment.merged_across_pages(segment.merged_in_page(segment.units(styled)))
+    r = read.first()
+    assert r["text"] == "Texto forte e mais cor aqui" and [tuple(x) for x in r["bold_ranges"]] == [(6, 11)] and [tuple(x) for x in r["color_ranges"]] == [(19, 22, "red")]
+    html = render.fragments(sections.sections(read)).first()["html"]
+    assert 'Texto <strong class="pdf-bold">forte</strong> e mais <span class="red">cor</span> aqui</p>' in html
+
+
+def test_tables_and_images_reach_the_book(spark):
+    lines_ = _lines(spark, [("uma linha de texto corrido aqui.", 48.0, 20.0, 200.0, 32.0, 12.0, 0.0, "B", 0)])
+    regions_ = spark.createDataFrame([(1, 1, 1, "table", 40.0, 100.0, 300.0, 160.0), (1, 1, 1002, "image", 40.0, 200.0, 300.0, 260.0)], "doc_id long, page int, ord int, kind string, x0 double, y0 double, x1 double, y1 double")
+    tables = spark.createDataFrame([(1, 1, 1, [["A", "B"], ["x < y", None]])], "doc_id long, page int, ord int, rows array<array<string>>")
+    images = spark.createDataFrame([(1, 1, 1002, "fig.png", "Uma & outra")], "doc_id long, page int, ord int, filename string, caption string")
+    read = segment.merged_across_pages(segment.merged_in_page(segment.units(lines_, regions_)))
+    body = render.documents(sections.sections(read), tables=tables, images=images).first()["xhtml"]
+    assert '<div class="table-wrap"><table><tr><th>A</th><th>B</th></tr><tr><td>x &lt; y</td><td></td></tr></table></div>' in body
+    assert '<figure><img src="../images/fig.png" alt=""/><figcaption>Uma &amp; outra</figcaption></figure>' in body
+
+
+def test_one_bad_document_does_not_stop_the_others(spark):
+    good = '<html xmlns="http://www.w3.org/1999/xhtml"><body><p>ok</p></body></html>'
+    files = spark.createDataFrame([(1, 0, "s", good), (2, 0, "s", "<html><p></html>")], "doc_id long, section_no long, section string, xhtml string")
+    toc = spark.createDataFrame([(1, 1, 1, "A", "s.xhtml#a"), (1, 2, 3, "B", "s.xhtml#b"), (1, 3, 2, "C", "s.xhtml#c"), (1, 4, 1, "D", "s.xhtml#d")], "doc_id long, seq long, level int, text string, href string")
+    pages = spark.createDataFrame([(1, 1, "s")], "doc_id long, page int, section string")
+    meta = spark.createDataFrame([(1, "Área", "T", "N"), (2, "", "", "")], "doc_id long, area string, title string, author string")
+    images = spark.createDataFrame([(1, "cover.png", bytearray(b"png")), (1, "f.svg", bytearray(b"<svg/>"))], "doc_id long, filename string, data binary")
+    books = epub.packages(files, toc, pages, meta, images=images)
+    got = {r["doc_id"]: r for r in books.collect()}
+    assert got[2]["epub"] is None and "not well-formed" in got[2]["error"] and got[1]["error"] is None
+    z = zipfile.ZipFile(io.BytesIO(got[1]["epub"]))
+    assert {"OEBPS/text/cover.xhtml", "OEBPS/images/cover.png", "OEBPS/images/f.svg"} < set(z.namelist())
+    nav = z.read("OEBPS/nav.xhtml").decode()
+    inner = '<li class="toc-l3"><a href="text/s.xhtml#b">B</a></li><li class="toc-l2"><a href="text/s.xhtml#c">C</a></li>'
+    assert f'<li class="toc-l1"><a href="text/s.xhtml#a">A</a><ol>{inner}</ol></li><li class="toc-l1">' in nav
+    assert {r["doc_id"]: r["status"] for r in epub.verdicts(books).collect()} == {1: "partial", 2: "failed"}
+
+
+def test_identifiers_and_plain_phrases(spark):
+    opf = b'<package xmlns="http://www.idpf.org/2007/opf" unique-identifier="i"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="i">a</dc:identifier></metadata></package>'
+    ncx = b'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><head><meta name="dtb:uid" content="b"/></head></ncx>'
+    link = b'<html><body><p><a href="x">so  texto</a></p></body></html>'
+    df = spark.createDataFrame([(1, bytearray(epub.package({"a.opf": opf, "a.ncx": ncx, "b.xhtml": link})))], "doc_id long, epub binary")
+    assert {r["rule"] for r in epub.findings(epub.entries(df), ("so texto",)).collect()} == {"identifiers differ", "plain phrase in a link"}
+
+
+def test_settings_win_over_what_is_found(spark):
+    from quire.config import Config
+
+    lines_ = _lines(spark, [("Área do livro", 48.0, 300.0, 200.0, 312.0, 12.0, 0.0, "B", 0), ("LIVRO ELETRÔNICO", 48.0, 320.0, 200.0, 332.0, 12.0, 0.0, "B", 0), ("O TÍTULO DELE", 48.0, 340.0, 200.0, 352.0, 12.0, 0.0, "B", 0)])
+    keys = regions.furniture_keys(lines_)
+    assert sections.metadata(lines_, keys).first().asDict() == {"doc_id": 1, "area": "Área do livro", "title": "O Título Dele", "author": ""}
+    assert sections.metadata(lines_, keys, config=Config(title="X", author="Y")).first().asDict() == {"doc_id": 1, "area": "Área do livro", "title": "X", "author": "Y"}
+
+
 def test_package_rules(spark):
     good = epub.book(1, "T", "A", [("s", '<html xmlns="http://www.w3.org/1999/xhtml"><body><p>ok</p></body></html>')], [], [], "")
     names = zipfile.ZipFile(io.BytesIO(good)).namelist()
