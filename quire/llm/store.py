@@ -1,8 +1,9 @@
 """Shared storage for intermediate tables and files.
 
 Everything that must outlive a task goes to the folder named by
-``spark.checkpoint.dir``, which driver and executors share.  A session without
-that setting (tests, notebooks) gets a temporary folder of its own.
+``spark.checkpoint.dir``, which driver and executors share.  A local session
+without that setting (tests, notebooks) gets a temporary folder of its own; a
+cluster without it is refused.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="quire-")
