@@ -34,7 +34,7 @@ from quire.llm.wordhash import slices
 
 BATCH_BYTES = 300_000
 DECODE_TOKENS = 1 << 20
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 21
 _LOADED: dict[tuple[str, str], "Bpe"] = {}
 
 ENCODE = """

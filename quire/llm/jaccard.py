@@ -302,7 +302,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             size = np.asarray(pc.binary_length(batch.column(2))).astype(np.int64) + np.asarray(pc.binary_length(batch.column(3)))
             upto, a = np.cumsum(size), 0
             while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + (8 << 20), "right")))
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + (4 << 20), "right")))
                 some = batch.slice(a, b - a)
                 x, y = some.column(2).to_pylist(), some.column(3).to_pylist()
                 n, m = (np.array([len(s) // 8 for s in z]) for z in (x, y))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quire.llm import store, tokens
 from quire.llm.wordhash import slices
 
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 21
 PIECES = "part int, nth long, doc_id long, piece int, start long, length long, ids binary"
 
 

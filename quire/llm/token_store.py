@@ -37,7 +37,7 @@ from quire.llm.wordhash import slices
 MAGIC = b"QDAC1\0\0\0"
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 21
 MANIFEST = "file_no int, uri string, n_docs long, n_tokens long"
 
 

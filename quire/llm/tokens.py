@@ -24,9 +24,9 @@ import pyarrow.compute as pc
 
 from quire.llm.wordhash import buffers
 
-_MOST_PIECES = 700_000
+_MOST_PIECES = 300_000
 _LONG_PIECE = 64
-_BLOCK_PIECES = 1 << 20
+_BLOCK_PIECES = 1 << 18
 _JOIN = 400
 _LETTER, _DIGIT, _PUNCT, _OTHER, _SPACE, _FEED, _DOUBT = range(7)
 _LOADED: dict[str, "PieceEncoder"] = {}
