@@ -155,6 +155,13 @@ def test_identifiers_and_plain_phrases(spark):
     assert {r["rule"] for r in epub.findings(epub.entries(df), ("so texto",)).collect()} == {"identifiers differ", "plain phrase in a link"}
 
 
+def test_colour_ranges_of_spans(spark):
+    rows = [(1, 1, 1, k, t, 48.0 + 30 * k, 60.0, 70.0 + 30 * k, 72.0, 12.0, "B", 0, c) for k, (t, c) in enumerate([("um", 0), ("dois", 0xC02020), ("três", 0x2040C0)])]
+    df = spark.createDataFrame(rows, "doc_id long, page int, line int, ord int, text string, x0 double, y0 double, x1 double, y1 double, size double, font string, flags int, color int")
+    r = lines.from_spans(df, styles=True).first()
+    assert r["text"] == "um dois três" and [tuple(x) for x in r["color_ranges"]] == [(3, 7, "red"), (8, 12, "blue")]
+
+
 def test_settings_win_over_what_is_found(spark):
     from quire.config import Config
 
