@@ -34,7 +34,7 @@ from quire.llm.wordhash import slices
 
 BATCH_BYTES = 300_000
 DECODE_TOKENS = 1 << 20
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 23
 _LOADED: dict[tuple[str, str], "Bpe"] = {}
 
 ENCODE = """
@@ -79,6 +79,9 @@ DECODE = "SELECT i.item, list(v.bytes ORDER BY i.pos) AS bytes FROM ids i JOIN v
 class Bpe(PieceTable):
     """Encoder and decoder of one rank file."""
 
+    #: Recursive queries cost the more the fewer words they take.
+    room = 2
+
     def __init__(self, ranks_path: str, pattern: str):
         import duckdb
         import regex

@@ -74,6 +74,9 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class PieceTable:
     """Texts to unsigned 32-bit ids by a table of pieces; ``_learn`` encodes what it lacks."""
 
+    #: How many times the pieces of a table and of a block are kept.
+    room = 1
+
     def __init__(self):
         self._forget()
 
@@ -124,10 +127,10 @@ class PieceTable:
         coded = values.dictionary_encode()
         names = coded.dictionary
         distinct = names.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) + len(distinct) > _MOST_PIECES:
+        if len(self.known) + len(distinct) > self.room * _MOST_PIECES:
             self._age()
         entry = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
-        if len(self.known) + (entry < 0).sum() > _MOST_PIECES:
+        if len(self.known) + (entry < 0).sum() > self.room * _MOST_PIECES:
             self._forget()
             entry[:] = -1
         own = np.asarray(pc.binary_length(names)).astype(np.int64)
@@ -156,8 +159,9 @@ class PieceTable:
         edge = np.append(np.flatnonzero(cut), len(data))
         del cut
         ids, sizes = [], []
-        for a in range(0, len(edge) - 1, _BLOCK_PIECES):
-            some = edge[a : a + _BLOCK_PIECES + 1]
+        step = self.room * _BLOCK_PIECES
+        for a in range(0, len(edge) - 1, step):
+            some = edge[a : a + step + 1]
             body = pa.py_buffer(data[some[0] : some[-1]])
             values = pa.Array.from_buffers(pa.large_string(), len(some) - 1, [None, pa.py_buffer((some - some[0]).astype(np.int64)), body])
             i, n = self._block(values)
