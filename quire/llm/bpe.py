@@ -3,12 +3,14 @@
 Each Python worker holds an in-memory DuckDB database with the vocabulary and a
 merge table (left id, right id, merged id).  Words, the matches of the pattern,
 become token-position rows that name the row after them.  One recursive query
-contracts them, whatever their length: in each round every word's pairs of least
-rank, from the left and without overlap, until no word has a pair left.  A round
+contracts them, whatever their length: in each round every word's leftmost pair
+of least rank, and where that pair has more places in the word those too, from the
+left and without overlap, until no word has a pair left.  A round
 of a word gives what one contraction at a time would, because every pair that a
 contraction makes ranks above it: each token of a vocabulary is reached by merges
-of lower rank than its own (``sound`` tests that).  The query keeps the present
-row of each position only, so its memory doesn't grow with its rounds.
+of lower rank than its own (``sound`` tests that).  Words whose pair has one place,
+nearly all, need one join a round.  The query keeps the present row of each
+position only, so its memory doesn't grow with its rounds.
 
 Decoding joins the ids of each document to their bytes and aggregates them in
 order.
@@ -32,45 +34,52 @@ from pyspark.sql import functions as F
 from quire.llm.tokens import PieceTable, spread
 from quire.llm.wordhash import slices
 
-BATCH_BYTES = 300_000
+BATCH_BYTES = 450_000
 DECODE_TOKENS = 1 << 20
 SLICE_BYTES = 1 << 23
 _LOADED: dict[tuple[str, str], "Bpe"] = {}
 
 ENCODE = """
-WITH RECURSIVE step(place, token, next, next_token, merged) USING KEY (place) AS (
-    SELECT (s.word::BIGINT << 32) | s.pos, s.token, s.pos + 1, s.next_token, m.merged
-    FROM (SELECT word, pos, token, lead(token) OVER (PARTITION BY word ORDER BY pos) AS next_token FROM start) s
-    LEFT JOIN merges m ON m.pair = (s.token::BIGINT << 32) | s.next_token
+WITH RECURSIVE step(place, word, token, next, next_token, merged) USING KEY (place) AS (
+    SELECT s.place, s.word, s.token, s.place + 1, s.next_token, m.merged
+    FROM start s LEFT JOIN merges m ON m.pair = (s.token::BIGINT << 32) | s.next_token
     UNION
     (WITH live AS MATERIALIZED (
-        SELECT (place >> 32)::INTEGER AS word, (place & 4294967295)::INTEGER AS pos, token, next, next_token, merged FROM recurring.step WHERE token >= 0
-    ), least AS (
-        SELECT word, min(merged) AS merged FROM live WHERE merged IS NOT NULL GROUP BY word
-    ), places AS (
-        SELECT t.word, t.pos, t.next, t.merged, coalesce(t.pos = lag(t.next) OVER (PARTITION BY t.word ORDER BY t.pos), false) AS follows
-        FROM live t JOIN least l ON l.word = t.word AND l.merged = t.merged
+        SELECT place, word, token, next, next_token, merged FROM recurring.step WHERE token >= 0
+    ), least AS MATERIALIZED (
+        SELECT word, (first >> 32)::INTEGER AS merged, (first & 4294967295)::INTEGER AS place, gone, first = xor(last, 4294967295) AS single
+        FROM (
+            SELECT word, min((merged::BIGINT << 32) | place) AS first, min((merged::BIGINT << 32) | xor(place, 4294967295)) AS last, arg_min(next, (merged::BIGINT << 32) | place) AS gone
+            FROM live WHERE merged IS NOT NULL GROUP BY word
+        )
+    ), many AS MATERIALIZED (
+        SELECT t.place, t.word, t.token, t.next, t.next_token, t.merged, l.merged AS best
+        FROM live t JOIN least l ON l.word = t.word AND NOT l.single
     ), runs AS (
-        SELECT *, count(*) FILTER (NOT follows) OVER (PARTITION BY word ORDER BY pos) AS run FROM places
+        SELECT *, count(*) FILTER (NOT follows) OVER (ORDER BY place) AS run
+        FROM (SELECT place, next, merged, coalesce(place = lag(next) OVER (ORDER BY place), false) AS follows FROM many WHERE merged = best)
     ), hits AS MATERIALIZED (
-        SELECT word, pos, next AS gone, merged, lead(pos) OVER w AS hit_after, lag(next) OVER w AS gone_before
-        FROM (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS nth FROM runs)
-        WHERE nth % 2 = 1 WINDOW w AS (PARTITION BY word ORDER BY pos)
+        SELECT place, next AS gone, merged FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY place) AS nth FROM runs) WHERE nth % 2 = 1
     ), changed AS (
-        SELECT h.word, h.pos, h.merged AS token, g.next, CASE WHEN g.next = h.hit_after THEN h.merged ELSE g.next_token END AS next_token
-        FROM live g JOIN hits h ON h.word = g.word AND h.gone = g.pos
+        SELECT CASE WHEN t.place = l.gone THEN l.place ELSE t.place END AS place, t.word, CASE WHEN t.place = l.gone THEN l.merged ELSE t.token END AS token,
+            t.next, CASE WHEN t.place = l.gone THEN t.next_token ELSE l.merged END AS next_token
+        FROM live t JOIN least l ON l.word = t.word AND l.single WHERE t.place = l.gone OR t.next = l.place
         UNION ALL
-        SELECT t.word, t.pos, t.token, t.next, h.merged
-        FROM live t JOIN hits h ON h.word = t.word AND h.pos = t.next
-        WHERE t.pos IS DISTINCT FROM h.gone_before
+        SELECT h.place, g.word, h.merged, g.next, coalesce(f.merged, g.next_token)
+        FROM hits h JOIN many g ON h.gone = g.place LEFT JOIN hits f ON f.place = g.next
+        UNION ALL
+        SELECT t.place, t.word, t.token, t.next, h.merged
+        FROM many t JOIN hits h ON h.place = t.next ANTI JOIN hits e ON e.gone = t.place
     )
-    SELECT (c.word::BIGINT << 32) | c.pos, c.token, c.next, c.next_token, m.merged
+    SELECT c.place, c.word, c.token, c.next, c.next_token, m.merged
     FROM changed c LEFT JOIN merges m ON m.pair = (c.token::BIGINT << 32) | c.next_token
     UNION ALL
-    SELECT (word::BIGINT << 32) | gone, -1, NULL, NULL, NULL FROM hits
+    SELECT gone, NULL, -1, NULL, NULL, NULL FROM hits
+    UNION ALL
+    SELECT gone, NULL, -1, NULL, NULL, NULL FROM least WHERE single
     )
 )
-SELECT place >> 32 AS word, token FROM step WHERE token >= 0 ORDER BY place
+SELECT word, token FROM step WHERE token >= 0 ORDER BY place
 """
 
 DECODE = "SELECT i.item, list(v.bytes ORDER BY i.pos) AS bytes FROM ids i JOIN vocabulary v ON v.id = i.token GROUP BY i.item ORDER BY i.item"
@@ -107,8 +116,11 @@ class Bpe(PieceTable):
         """Ids of the words, end to end, and their number in each, by the recursive query."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         word = np.repeat(np.arange(len(words), dtype=np.int32), size)
-        pos = (np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-        self._load("start", pa.table({"word": word, "pos": pos, "token": self.byte_id[np.frombuffer(b"".join(words), np.uint8)]}))
+        place = np.arange(len(word), dtype=np.int32) + word  # one place between words stays free
+        token = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+        after = np.append(token[1:], np.int32(-1))
+        after[np.cumsum(size) - 1] = -1
+        self._load("start", pa.table({"place": place, "word": word, "token": token, "next_token": after}))
         got = self.db.execute(ENCODE).fetchnumpy()
         return np.asarray(got["token"]).astype(np.uint32), np.bincount(np.asarray(got["word"]), minlength=len(words))
 
@@ -121,9 +133,10 @@ class Bpe(PieceTable):
         rest = rest[np.argsort(length[rest], kind="stable")]  # words of one batch take about as many rounds
         edge = np.cumsum(length[rest])
         size, flat, at = np.ones(len(raw), np.int64), [token[token >= 0].astype(np.uint32)], 0
+        batch = -(-edge[-1] // -(-edge[-1] // BATCH_BYTES)) if len(rest) else 0  # no small batch at the end
         while at < len(rest):
             before = edge[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(edge, before + BATCH_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(edge, before + batch, "right")))
             ids, size[rest[at:to]] = self.contracted([raw[i] for i in rest[at:to].tolist()])
             flat.append(ids)
             at = to
