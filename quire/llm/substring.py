@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import store
-from quire.llm.wordhash import Words, slices, windows, words
+from quire.llm.wordhash import Words, mix, slices, windows, words
 
 GRAM = 10
 LEAST = -(1 << 63)
@@ -78,8 +78,16 @@ def _seeds(docs: DataFrame, size: int, gram: int) -> DataFrame:
     return docs.select("key", "h", "text").mapInArrow(run, "token long, key long, h long, pos int, own boolean")
 
 
+def both(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every window; windows that agree in one by chance differ in the other."""
+    return windows(hashes, size), windows(mix(hashes), size)
+
+
 def _windows(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """Windows around the repeated anchors ``seeds`` of each document: token, key, h, pos."""
+    """Windows around the repeated anchors ``seeds`` of each document: token, check, key, h, pos.
+
+    ``token`` and ``check`` are two hashes of the window's words, compared together.
+    """
 
     def run(batches):
         for batch in batches:
@@ -93,13 +101,14 @@ def _windows(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 hot[flat] = True
                 use = hot[at] if len(at) else np.zeros(0, bool)
                 start, row = start[use], row[use]
-                token = windows(w.hashes, size)[start] if len(start) else np.zeros(0, np.uint64)
+                token, check = (x[start].view(np.int64) for x in both(w.hashes, size)) if len(start) else (np.zeros(0, np.int64),) * 2
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array((start - w.rows[row]).astype(np.int32))], names=["token", "key", "h", "pos"]
+                    [pa.array(token), pa.array(check), part.column(0).take(take), part.column(1).take(take), pa.array((start - w.rows[row]).astype(np.int32))],
+                    names=["token", "check", "key", "h", "pos"],
                 )
 
-    return docs.select("key", "h", "text", "seeds").mapInArrow(run, "token long, key long, h long, pos int")
+    return docs.select("key", "h", "text", "seeds").mapInArrow(run, "token long, check long, key long, h long, pos int")
 
 
 def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
@@ -125,8 +134,8 @@ def repeats(docs: DataFrame, size: int = 20, gram: int = GRAM) -> DataFrame:
     placed = seeds.select("token", "key", "h", "pos").join(often, "token").select("key", "h", "pos").join(copies, ["key", "h"], "left_anti")
     by_doc = store.written(placed.groupBy("key", "h").agg(F.collect_set("pos").alias("seeds")), "anchors")
     spread = store.written(_windows(keyed.join(by_doc, ["key", "h"]), size, gram), "windows")
-    first = spread.groupBy("token").agg(F.min(F.struct("key", "pos")).alias("first"), F.max(F.struct("key", "pos")).alias("last")).filter("first < last").select("token", "first")
-    again = spread.join(first, "token").filter(F.struct("key", "pos") > F.col("first"))
+    first = spread.groupBy("token", "check").agg(F.min(F.struct("key", "pos")).alias("first"), F.max(F.struct("key", "pos")).alias("last")).filter("first < last").select("token", "check", "first")
+    again = spread.join(first, ["token", "check"]).filter(F.struct("key", "pos") > F.col("first"))
     starts = again.groupBy("key", "h").agg(F.collect_set("pos").alias("starts")).withColumn("copy", F.lit(False))
     whole = copies.select("key", "h", F.lit(True).alias("copy"), F.array().cast("array<int>").alias("starts"))
     return store.written(starts.unionByName(whole), "repeats")

@@ -348,6 +348,14 @@ def test_substring_dedup(spark):
     assert substring.deduplicated(frame(spark, texts)).count() == len(texts) + 3
 
 
+def test_windows_that_share_one_hash_differ_in_the_other():
+    with np.errstate(over="ignore"):
+        a = np.array([5, 9], np.uint64)
+        b = a + np.array([1, -0x9E3779B97F4A7C15 % (1 << 64)], np.uint64)
+    (one, check), (same, other) = substring.both(a, 2), substring.both(b, 2)
+    assert one == same and check != other
+
+
 def test_warc_round_trip(spark):
     html = ["", "a", "é" * 5000, "x" * 40000, "a", None, "", "y\r\n0\r\n\r\n"]
     rows = [(i, "http://h/\r\nx" if i else None, t) for i, t in enumerate(html)]
