@@ -128,17 +128,17 @@ def repeats(docs: DataFrame, size: int = 20, gram: int = GRAM) -> DataFrame:
     keyed = _keyed(docs)
     lean = keyed.select("key", "h", "h2")
     firsts = lean.groupBy("h", "h2").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last")
-    copies = store.written(lean.join(firsts, ["h", "h2"]).filter("key > first").select("key", "h").distinct(), "copies")
+    copies = store.written(lean.join(firsts, ["h", "h2"]).filter("key > first").select("key", "h").distinct(), "copies", tidy=True)
     seeds = _seeds(keyed, size, gram)
     often = seeds.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.bool_or("own").alias("own")).filter("lo < hi or own").select("token")
     placed = seeds.select("token", "key", "h", "pos").join(often, "token").select("key", "h", "pos").join(copies, ["key", "h"], "left_anti")
-    by_doc = store.written(placed.groupBy("key", "h").agg(F.collect_set("pos").alias("seeds")), "anchors")
-    spread = store.written(_windows(keyed.join(by_doc, ["key", "h"]), size, gram), "windows")
+    by_doc = store.written(placed.groupBy("key", "h").agg(F.collect_set("pos").alias("seeds")), "anchors", tidy=True)
+    spread = store.written(_windows(keyed.join(by_doc, ["key", "h"]), size, gram), "windows", tidy=True)
     first = spread.groupBy("token", "check").agg(F.min(F.struct("key", "pos")).alias("first"), F.max(F.struct("key", "pos")).alias("last")).filter("first < last").select("token", "check", "first")
     again = spread.join(first, ["token", "check"]).filter(F.struct("key", "pos") > F.col("first"))
     starts = again.groupBy("key", "h").agg(F.collect_set("pos").alias("starts")).withColumn("copy", F.lit(False))
     whole = copies.select("key", "h", F.lit(True).alias("copy"), F.array().cast("array<int>").alias("starts"))
-    return store.written(starts.unionByName(whole), "repeats")
+    return store.written(starts.unionByName(whole), "repeats", tidy=True)
 
 
 def remaining(text: str, gone: np.ndarray) -> str:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm import bpe, fingerprints, jaccard, neardup, packing, quality, sharding, substring, token_store, tokens, warc
+from quire.llm import bpe, fingerprints, jaccard, neardup, packing, quality, sharding, store, substring, token_store, tokens, warc
 from quire.llm.wordhash import shingle_set, words
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -437,3 +437,12 @@ def test_empty_tables(spark):
     assert bpe.encoded(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
     assert neardup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert warc.read(warc.write(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+def test_a_tidy_write_leaves_no_shuffle_files(spark):
+    held = lambda: {f for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if f.endswith(".data")}
+    df = lambda: spark.range(5000).groupBy((F.col("id") % 50).alias("k")).count()
+    before, setting = held(), spark.conf.get(store._TIDY, None)
+    tidy = store.written(df(), "tidy", tidy=True)
+    assert not held() - before and spark.conf.get(store._TIDY, None) == setting
+    assert tidy.count() == 50
