@@ -235,7 +235,7 @@ def test_runs_of_characters_and_of_their_strings(spark):
     assert lines.char_runs(spark.createDataFrame(each, kind), fonts.filter("doc_id = 2"), "bold").count() == 0
 
 
-@pytest.mark.parametrize("name", ["char_runs", "style_run_join"])
+@pytest.mark.parametrize("name", ["char_runs", "style_run_join", "ranges_projected"])
 def test_bold_runs_move_lines_once_and_no_characters(spark, name):
     df = QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
