@@ -7,6 +7,7 @@ length of a text.
 
 from __future__ import annotations
 
+import ctypes
 from typing import NamedTuple
 
 import numpy as np
@@ -126,8 +127,21 @@ def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.unique(windows(hashes, min(size, len(hashes))))
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker that waits holds what it keeps, not what it once needed."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
-    """Cut a batch into row ranges of at most ``most`` text bytes (or one row)."""
+    """Cut a batch into row ranges of at most ``most`` text bytes (or one row).
+
+    What the slices needed goes back to the system at the end of the batch.
+    """
     col = batch.column(batch.schema.get_field_index(column))
     _, offs = buffers(col)
     a = 0
@@ -135,3 +149,4 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
         b = max(a + 1, int(np.searchsorted(offs, offs[a] + most, "right")) - 1)
         yield batch.slice(a, b - a)
         a = b
+    release()

@@ -446,3 +446,21 @@ def test_a_tidy_write_leaves_no_shuffle_files(spark):
     tidy = store.written(df(), "tidy", tidy=True)
     assert not held() - before and spark.conf.get(store._TIDY, None) == setting
     assert tidy.count() == 50
+
+
+def test_a_batch_gives_back_the_memory_that_its_slices_needed():
+    import re
+
+    from quire.llm.wordhash import slices
+
+    def held():
+        return int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+
+    batch = pa.RecordBatch.from_pydict({"text": ["a b"] * 10})
+    before, pins = held(), []
+    for _ in slices(batch, "text"):
+        some = [bytes(1000) for _ in range(200_000)]
+        pins.append(bytes(1000))  # above the rest, so the heap does not shrink by itself
+        peak = held()
+        del some
+    assert peak - before > 150 and held() - before < 60
