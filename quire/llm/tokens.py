@@ -4,7 +4,8 @@ The pre-tokeniser's pattern has places that no match ever crosses: before a spac
 that a non-space follows, around a lone line feed between non-spaces, and where a
 run of ASCII letters or digits ends.  Texts are cut at such places (leaving out a
 cut is always right, so only bytes that are certain are looked at).  Pieces
-repeat, so each Python worker keeps a bounded table of pieces it has encoded.
+repeat, so each Python worker keeps a bounded table of pieces it has encoded, in
+flat arrays: a piece is found by a hash and held against the bytes of the table.
 New pieces reach the library joined to longer texts at places of the same kind,
 and the ids are dealt back by the byte lengths of their tokens.
 
@@ -22,11 +23,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quire.llm.wordhash import buffers
+from quire.llm.wordhash import buffers, strings
 
-_MOST_PIECES = 300_000
+_MOST_PIECES = 700_000
+_MOST_BYTES = 1 << 24
 _LONG_PIECE = 64
 _BLOCK_PIECES = 1 << 18
+_EQUAL_BYTES = 1 << 19
 _JOIN = 400
 _LETTER, _DIGIT, _PUNCT, _OTHER, _SPACE, _FEED, _DOUBT = range(7)
 _LOADED: dict[str, "PieceEncoder"] = {}
@@ -68,7 +71,101 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The positions of runs, end to end."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return np.repeat(start - (np.cumsum(size, dtype=np.int64) - size), size) + np.arange(int(size.sum()))
+
+
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a longer one that has room for ``n`` entries."""
+    if n <= len(x):
+        return x
+    out = np.zeros(1 << (n - 1).bit_length(), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
+class PieceIndex:
+    """Numbers byte strings in the order of their arrival, by open addressing.
+
+    The 64-bit hash only leads to a place: a string is found when its bytes are
+    equal, so strings that share a hash are told apart.
+    """
+
+    def __init__(self):
+        self.slot = np.full(1 << 15, -1, np.int32)
+        self.hash = np.zeros(1 << 14, np.uint64)
+        self.begin = np.zeros(1 << 14, np.int64)
+        self.own = np.zeros(1 << 14, np.int32)
+        self.data = np.zeros(1 << 17, np.uint8)
+        self.n = self.n_data = 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def find(self, data: np.ndarray, begin: np.ndarray, own: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of strings that begin there and have so many bytes; -1 for those that are new."""
+        found = np.full(len(begin), -1, np.int64)
+        last = len(self.slot) - 1
+        place = (hashes & np.uint64(last)).astype(np.int64)
+        todo = np.arange(len(begin))
+        while len(todo):
+            entry = self.slot[place]
+            alive = entry >= 0
+            todo, place, entry = todo[alive], place[alive], entry[alive]
+            same = np.flatnonzero((self.hash[entry] == hashes[todo]) & (self.own[entry] == own[todo]))
+            same = same[self._equal(entry[same], data, begin[todo[same]])]
+            found[todo[same]] = entry[same]
+            alive = np.ones(len(todo), bool)
+            alive[same] = False
+            todo, place = todo[alive], (place[alive] + 1) & last
+        return found
+
+    def _equal(self, entry: np.ndarray, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Whether the bytes from each place on are those of the entry."""
+        out = np.zeros(len(entry), bool)
+        edge, a = np.cumsum(self.own[entry], dtype=np.int64), 0
+        while a < len(entry):
+            upto = edge[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(edge, upto + _EQUAL_BYTES, "right")))
+            size = self.own[entry[a:b]]
+            equal = self.data[spread(self.begin[entry[a:b]], size)] == data[spread(begin[a:b], size)]
+            out[a:b] = np.logical_and.reduceat(equal, edge[a:b] - size - upto)
+            a = b
+        return out
+
+    def add(self, data: np.ndarray, offs: np.ndarray) -> None:
+        """Number strings that are new and differ, end to end with these offsets."""
+        n, m = self.n, len(offs) - 1
+        self.hash, self.begin, self.own = (_grown(x, n + m) for x in (self.hash, self.begin, self.own))
+        self.data = _grown(self.data, self.n_data + len(data))
+        self.data[self.n_data : self.n_data + len(data)] = data
+        self.hash[n : n + m] = strings(data, offs)
+        self.begin[n : n + m] = self.n_data + offs[:-1]
+        self.own[n : n + m] = np.diff(offs)
+        self.n, self.n_data = n + m, self.n_data + len(data)
+        if 2 * self.n > len(self.slot):
+            self.slot = np.full(1 << (2 * self.n - 1).bit_length(), -1, np.int32)
+            n = 0
+        self._place(np.arange(n, self.n, dtype=np.int32))
+
+    def _place(self, todo: np.ndarray) -> None:
+        last = len(self.slot) - 1
+        place = (self.hash[todo] & np.uint64(last)).astype(np.int64)
+        while len(todo):
+            free = self.slot[place] < 0
+            self.slot[place[free]] = todo[free]
+            lost = self.slot[place] != todo  # taken before, or by another of these
+            todo, place = todo[lost], (place[lost] + 1) & last
+
+    def keep(self, at: np.ndarray) -> None:
+        """Keep these entries alone and number them anew, in their order."""
+        own = self.own[at]
+        data = self.data[spread(self.begin[at], own)]
+        self.n, self.n_data = len(at), len(data)
+        self.hash[: self.n], self.own[: self.n] = self.hash[at], own
+        self.begin[: self.n] = np.cumsum(own, dtype=np.int64) - own
+        self.data[: self.n_data] = data
+        self.slot[:] = -1
+        self._place(np.arange(self.n, dtype=np.int32))
 
 
 class PieceTable:
@@ -81,24 +178,22 @@ class PieceTable:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = PieceIndex()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
-        self.used = np.zeros(1 << 14, np.int64)
+        self.size = np.zeros(1 << 14, np.int32)
+        self.used = np.zeros(1 << 14, np.int32)
         self.n_flat = self.now = 0
 
     def _add(self, some: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         """Put pieces and their ids, end to end, into the table."""
         n, m = len(self.known), len(some)
-        while n + m > len(self.start):
-            self.start, self.size, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.used))
-        while self.n_flat + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.start, self.size, self.used = (_grown(x, n + m) for x in (self.start, self.size, self.used))
+        self.flat = _grown(self.flat, self.n_flat + len(ids))
         self.flat[self.n_flat : self.n_flat + len(ids)] = ids
         self.start[n : n + m] = self.n_flat + np.cumsum(sizes) - sizes
         self.size[n : n + m] = sizes
-        self.known.update(zip(some, range(n, n + m)))
+        self.known.add(*buffers(pa.array(some, pa.large_string())))
         self.n_flat += len(ids)
 
     def _learn(self, new: list[str], first: np.ndarray, last: np.ndarray, own: np.ndarray) -> None:
@@ -108,39 +203,39 @@ class PieceTable:
     def _age(self) -> None:
         """Keep the half of the table that was used last."""
         n = len(self.known)
-        newest = self.used[:n] > np.median(self.used[:n])
-        rank = np.cumsum(newest) - 1
-        at = np.flatnonzero(newest)
+        at = np.flatnonzero(self.used[:n] > np.median(self.used[:n])) if n else np.arange(0)
         flat = self._gather(at)
         size = self.size[at]
-        self.known = {p: int(rank[i]) for p, i in self.known.items() if newest[i]}
+        self.known.keep(at)
         self.used[: len(at)] = self.used[at]
-        self.size[: len(at)], self.start[: len(at)] = size, np.cumsum(size) - size
+        self.size[: len(at)], self.start[: len(at)] = size, np.cumsum(size, dtype=np.int64) - size
         self.flat[: len(flat)], self.n_flat = flat, len(flat)
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
         """The ids of table entries, end to end."""
         return self.flat[spread(self.start[at], self.size[at])]
 
+    def _full(self, more: int, data: int) -> bool:
+        return len(self.known) + more > self.room * _MOST_PIECES or self.known.n_data + data > self.room * _MOST_BYTES
+
     def _block(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, end to end, and the number of ids of each piece."""
         coded = values.dictionary_encode()
         names = coded.dictionary
-        distinct = names.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) + len(distinct) > self.room * _MOST_PIECES:
+        data, offs = buffers(names)
+        begin, own, hashes = offs[:-1], np.diff(offs), strings(data, offs)
+        if self._full(len(own), len(data)):
             self._age()
-        entry = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
-        if len(self.known) + (entry < 0).sum() > self.room * _MOST_PIECES:
+        entry = self.known.find(data, begin, own, hashes)
+        if self._full((entry < 0).sum(), own[entry < 0].sum()):
             self._forget()
             entry[:] = -1
-        own = np.asarray(pc.binary_length(names)).astype(np.int64)
         new = np.flatnonzero(entry < 0)
         if len(new):
-            data, offs = buffers(names)
             kind = np.append(_KIND[data], np.uint8(_DOUBT))
-            begin, end = offs[:-1][new], offs[1:][new]
-            self._learn([distinct[i] for i in new.tolist()], np.stack([kind[begin], np.where(end - begin > 1, kind[begin + 1], _DOUBT)], 1), kind[end - 1], own[new])
-            entry = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+            first, last = begin[new], offs[1:][new]
+            self._learn(names.take(pa.array(new)).to_pylist(), np.stack([kind[first], np.where(last - first > 1, kind[first + 1], _DOUBT)], 1), kind[last - 1], own[new])
+            entry[new] = self.known.find(data, first, own[new], hashes[new])
         self.now += 1
         self.used[entry] = self.now
         at = entry[np.asarray(coded.indices)]

@@ -104,6 +104,23 @@ def words(column: pa.Array, lower: bool) -> Words:
     return Words(data, starts, ends, hashes, np.searchsorted(starts, offs))
 
 
+def strings(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """64-bit hashes of strings of one byte or more, end to end, as ``words`` hashes them."""
+    length = np.diff(offs)
+    out = np.empty(len(length), np.uint64)
+    a = 0
+    with np.errstate(over="ignore"):
+        while a < len(out):
+            b = max(a + 1, int(np.searchsorted(offs, offs[a] + (_BLOCK >> 1), "right")) - 1)
+            edge = offs[a:b] - offs[a]
+            place = np.arange(offs[b] - offs[a]) - np.repeat(edge, length[a:b])
+            values = _TABLE[data[offs[a] : offs[b]]]
+            values *= _powers(int(length[a:b].max()))[place]
+            out[a:b] = mix(np.add.reduceat(values, edge) + length[a:b].astype(np.uint64) * _Q)
+            a = b
+    return out
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` consecutive entries (fewer than size: none)."""
     n = len(hashes) - size + 1

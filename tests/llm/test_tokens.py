@@ -46,6 +46,35 @@ def test_piece_table_ages_and_forgets(monkeypatch):
         assert len(enc.known) <= 300 and enc.n_flat <= len(enc.flat)
 
 
+def test_pieces_that_share_a_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "strings", lambda data, offs: np.zeros(len(offs) - 1, np.uint64))
+    monkeypatch.setattr(tokens, "_EQUAL_BYTES", 10)
+    lib, enc = Tokenizer.from_file(JSON), tokens.PieceEncoder(JSON)
+    for seed in range(3):
+        texts = odd_texts(30, seed) + ["ab cd ef", "ba dc fe"]
+        ids, sizes = enc.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_piece_table_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "_MOST_BYTES", 5000)
+    lib, enc = Tokenizer.from_file(JSON), tokens.PieceEncoder(JSON)
+    for k in range(20):
+        texts = ["日本" * 200 + str(k), f"a few common words {k}", "z" * 300 + str(k)]
+        ids, sizes = enc.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        assert enc.known.n_data <= 5000
+
+
+def test_a_known_piece_is_not_encoded_again():
+    enc = tokens.PieceEncoder(JSON)
+    texts = pa.array([" ".join(f"w{i}" for i in range(a, a + 1000)) for a in range(0, 400_000, 1000)])
+    first = enc.encode(texts)
+    enc._learn = None
+    again = enc.encode(texts)
+    assert (first[0] == again[0]).all() and (first[1] == again[1]).all()
+
+
 def test_end_ids_follow_each_text():
     enc = tokens.PieceEncoder(JSON)
     ids, sizes = enc.closed(pa.array(["a b", None, "", "c"]), 7)
